@@ -1,10 +1,12 @@
 """The registered queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
-from . import interleave, mixing, warc
+from . import interleave, mixing, packing, simhash, warc
 
 QUERIES = {
     "op1_warc_revisits": warc.op1_warc_revisits,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_pack": packing.op4_pack,
+    "op6_simhash": simhash.op6_simhash,
     "op9_interleaved_shards": interleave.op9_interleaved_shards,
 }
 ORACLE_SQL = {"op1_warc_revisits": warc.OP1_SQL, "op3_mix_sources": mixing.OP3_SQL}
