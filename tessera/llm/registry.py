@@ -1,12 +1,14 @@
 """The registered queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
-from . import interleave, mixing, packing, simhash, warc
+from . import ctph, interleave, mixing, packing, simhash, voronoi, warc
 
 QUERIES = {
     "op1_warc_revisits": warc.op1_warc_revisits,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_pack": packing.op4_pack,
     "op6_simhash": simhash.op6_simhash,
+    "op8_ctph": ctph.op8_ctph,
     "op9_interleaved_shards": interleave.op9_interleaved_shards,
+    "op10_voronoi_top_k": voronoi.op10_voronoi_top_k,
 }
-ORACLE_SQL = {"op1_warc_revisits": warc.OP1_SQL, "op3_mix_sources": mixing.OP3_SQL}
+ORACLE_SQL = {"op1_warc_revisits": warc.OP1_SQL, "op3_mix_sources": mixing.OP3_SQL, "op10_voronoi_top_k": voronoi.OP10_SQL}
