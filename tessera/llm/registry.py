@@ -1,9 +1,11 @@
 """The registered queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
-from . import ctph, interleave, mixing, packing, quality, simhash, toxicity, voronoi, warc
+from . import ctph, interleave, langid, mixing, packing, quality, simhash, toxicity, voronoi, warc
 
 QUERIES = {
     "op1_warc_revisits": warc.op1_warc_revisits,
+    "op2_language": langid.op2_language,
+    "language_of_pages": langid.pages_language,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_pack": packing.op4_pack,
     "op5_toxicity": toxicity.op5_toxicity,
