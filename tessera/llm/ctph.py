@@ -84,18 +84,12 @@ def distance(a: str, b: str) -> int:
     return d
 
 
-def _collapsed(s: str) -> str:
-    """Runs of over three equal characters say little: three stay."""
-    return "".join(c for i, c in enumerate(s) if i < 3 or not c == s[i - 1] == s[i - 2] == s[i - 3])
-
-
 def _alike(a: str, b: str) -> float:
     if a == b:
         return 1.0
-    a, b = _collapsed(a), _collapsed(b)
     if not a or not b:
         return 0.0
-    run = min(7, max(2, min(len(a), len(b)) // 3))
+    run = min(7, max(1, min(len(a), len(b)) // 3))  # as many characters in a row must be common
     if not {a[i : i + run] for i in range(len(a) - run + 1)} & {b[i : i + run] for i in range(len(b) - run + 1)}:
         return 0.0
     return 1 - distance(a, b) / max(len(a), len(b))

@@ -71,7 +71,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _descend(p: np.ndarray, u: np.ndarray, prior: float | None, seed: int, steps: int = 1500, rate: float = 0.02, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def _descend(p: np.ndarray, u: np.ndarray, prior: float | None, seed: int, steps: int = 6000, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Minimise the non-negative unbiased risk (logistic loss) by Adam on batches; prior None: tell p from u instead."""
     rng = np.random.default_rng(seed)
     w, m, v = (np.zeros(p.shape[1] + 1) for _ in range(3))

@@ -11,18 +11,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, save
+from .common import attach, ordered, save
 
 SEED = 42
 #: Buckets of more fingerprints are linked by bit flips instead of in pairs.
 PAIRWISE = 64
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """64 bits, as a signed number; a bit is 1 if it is set in over half the shingles' XXH64 (seed 42)."""
+def fingerprint(text: bytes, shingle: int, words: int = 1) -> list[int]:
+    """``words`` times 64 bits, as signed numbers; a bit is 1 if it is set in over half the shingles' hashes.
+
+    The first word's hash is XXH64 (seed 42), the others mix that with their number.
+    """
     norm = b" ".join(text.lower().split())  # bytes: lowers A-Z only, splits at ASCII white space only
     if not norm:
-        return 0
+        return [0] * words
     gaps = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
     if len(gaps) < shingle:
         hashes = [xxhash.xxh64_intdigest(norm, SEED)]
@@ -30,36 +33,46 @@ def fingerprint(text: bytes, shingle: int) -> int:
         starts = [0, *(gaps[: len(gaps) - shingle + 1] + 1).tolist()]
         ends = [*gaps[shingle - 1 :].tolist(), len(norm)]
         hashes = [xxhash.xxh64_intdigest(norm[i:j], SEED) for i, j in zip(starts, ends, strict=True)]
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
-        part = np.array(hashes[at : at + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+    ones = np.zeros((words, 64), np.int64)
+    for at in range(0, len(hashes), 1 << 14):  # bounded memory for very long texts
+        part = np.array(hashes[at : at + (1 << 14)], "<u8")
+        for w in range(words):
+            mixed = part if not w else _mix(part + np.uint64(w * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+            ones[w] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long) of every document's whole text.
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(``keep``, fp long) of every document's whole text; with more ``words``, (``keep``, fp, fp1, ...). Columns kept are longs.
 
     Texts with fewer words are one shingle; null texts and texts without words have fingerprint 0.
     """
 
+    names = ["fp", *(f"fp{w}" for w in range(1, words))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                fps = [fingerprint(t or b"", shingle) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+                fps = [fingerprint(t or b"", shingle, words) for t in part.column(len(keep)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(c, pa.int64()) for c in zip(*fps, strict=True))], names=[*keep, *names])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(*[F.col(c).cast("long").alias(c) for c in keep], F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*keep, *names]))
 
 
-def _keys(bits: int) -> list[tuple[int, list[int]]]:
-    """Masks of the blocks whose equality makes a bucket: of bits + 2 blocks, two stay equal in every close pair."""
-    blocks = bits + 2
+def _keys(bits: int, blocks: int | None = None) -> list[int]:
+    """Masks of the blocks whose equality makes a bucket: of ``blocks``, all but ``bits`` stay equal in every close pair."""
+    blocks = blocks or bits + 2
     edges = [64 * i // blocks for i in range(blocks + 1)]
     masks = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges, edges[1:], strict=False)]
-    return [m | n for m, n in combinations(masks, 2)]
+    return [sum(c) for c in combinations(masks, blocks - bits)]
 
 
 def _signed(x: int) -> int:
@@ -145,6 +158,106 @@ def group(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
     return attach(fps, save(facts), "fp", [F.col("doc_id")]).drop("n")
 
 
+#: Near-duplicates by similarity: words of a wide fingerprint, bits by which one word of a found pair may differ.
+WIDE, RADIUS = 4, 6
+
+
+def _bits(similarity: float) -> int:
+    """Differing bits of a wide fingerprint that sets of equal size and this Jaccard similarity have on average."""
+    return round(64 * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _blocks(rows: int, bits: int) -> int:
+    """How many blocks cost least: more blocks make more keys a row (about 2 microseconds), but longer keys and fewer pairs (30 nanoseconds)."""
+    cost = lambda b: len(_keys(bits, b)) * (2 + 0.03 * rows / 2 ** (64 * (b - bits) / b) / 2)
+    return min(range(bits + 1, bits + 6), key=cost)
+
+
+def _buckets(classes: DataFrame, bits: int, blocks: int) -> DataFrame:
+    """(key, word, block, node, w): every class under each of its keys, with the word the key is from."""
+    masks = _keys(bits, blocks)
+    parts = [F.struct(F.lit(k).cast("byte").alias("word"), F.lit(i).cast("short").alias("block"), F.col(c).bitwiseAND(F.lit(_signed(m))).alias("part"), F.col(c).alias("w")) for k, c in enumerate(_names()) for i, m in enumerate(masks)]
+    spread = classes.select("node", F.explode(F.array(*parts)).alias("k"))
+    return spread.select(F.xxhash64("k.word", "k.block", "k.part").alias("key"), "k.word", "k.block", "node", "k.w")
+
+
+def _names() -> list[str]:
+    return ["fp", *(f"fp{w}" for w in range(1, WIDE))]
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """Those pairs (a, b) of classes whose whole fingerprints differ in at most ``most`` bits."""
+    side = lambda x: classes.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in _names()])
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    return both.filter(sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _names()), F.lit(0)) <= most).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, h1, h2, stays) of saved rows: of each group of near copies by word shingles, the row that stays.
+
+    ``docs`` has doc_id, text and two hashes of the row. Fingerprints have WIDE words of 64 bits. A pair is linked if they
+    differ in no more bits than texts of the wanted Jaccard similarity do on average, and one word differs in RADIUS bits
+    or fewer, which is certain up to WIDE * (RADIUS + 1) - 1 bits in all, and likely above. Equal fingerprints are one
+    class, numbered by its smallest doc_id. First, as long as that takes many away, every class meets the smallest one in
+    each bucket of two equal quarters of a word; a class linked to a smaller one has its group and meets no others, so a
+    family of near copies costs rows in proportion to its size. Then the classes left are joined on pigeonhole blocks that
+    fit RADIUS, each pair at the first block it agrees on, and verified. The smallest row of a group's smallest class stays.
+    """
+    most, names = _bits(similarity), _names()
+    fps = save(fingerprints(docs, shingle, WIDE, ("doc_id", "h1", "h2")))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h1", "h2")
+    classes = fps.groupBy(*names).agg(F.min(row).alias("least"), F.count("*").alias("n"))
+    classes = save(ordered(classes, [F.col("least")], "node"))
+    left, found, count = classes.select("node", *names), [], classes.count()
+    for _ in range(5):
+        rows = save(_buckets(left, 2, 4).select("key", "node"))
+        first = save(rows.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1"))
+        star = attach(rows, first, "key", [F.col("node")]).filter(F.col("pivot") < F.col("node")).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+        links = save(_verified(star, left, most))
+        found.append(links)
+        gone = save(links.select(F.col("b").alias("node")).distinct())
+        absorbed = gone.count()
+        left = save(left.join(gone, "node", "left_anti"))
+        if absorbed * 100 <= count:
+            break
+    masks = _keys(RADIUS, blocks := _blocks(count, RADIUS))
+    buckets = _buckets(left, RADIUS, blocks)
+    a, b = (buckets.select("key", "word", "block", F.col("node").alias(x), F.col("w").alias(f"{x}_w")) for x in ("a", "b"))
+    differ = F.col("a_w").bitwiseXOR(F.col("b_w"))
+    agreed = F.lit(len(masks))
+    for i in reversed(range(len(masks))):
+        agreed = F.when(differ.bitwiseAND(F.lit(_signed(masks[i]))) == 0, F.lit(i)).otherwise(agreed)
+    close = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= RADIUS)
+    pairs = a.join(b, ["key", "word", "block"]).filter(F.when(close, agreed == F.col("block")).otherwise(F.lit(False)))
+    found.append(_verified(pairs.select("a", "b"), left, most))
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    below = save(components(save(links))).filter("node <> root").select("node").distinct()
+    tops = classes.join(below, "node", "left_anti").select("least.doc_id", "least.h1", "least.h2")
+    same = [fps["doc_id"].eqNullSafe(tops["doc_id"]), fps["h1"] == tops["h1"], fps["h2"] == tops["h2"]]
+    return save(fps.join(tops.withColumn("stays", F.lit(True)), same, "left").select(fps["doc_id"], fps["h1"], fps["h2"], F.coalesce("stays", F.lit(False)).alias("stays")))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bound: int = 500_000) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group, the row with the smallest doc_id (null ids last).
+
+    Ids may repeat or be null and texts may be null; those without words are copies of each other. All columns are kept,
+    whatever they are called. Rows that equal each other in all columns are one row. The hashes of the rows that go are
+    broadcast if a count shows that there are at most ``bound``, else joined by a shuffle; texts are not shuffled otherwise.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    h1, h2 = F.xxhash64(F.lit(1), *columns), F.xxhash64(F.lit(2), *columns)
+    decided = near_duplicates(docs.select("doc_id", "text", h1.alias("h1"), h2.alias("h2")), shingle, similarity)
+    gone = save(decided.filter("not stays").select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).distinct())
+    if gone.count() <= bound:
+        gone = F.broadcast(gone)
+    rows = docs.withColumns({"__h1": h1, "__h2": h2}).join(gone, ["__h1", "__h2"], "left_anti")
+    if decided.filter("stays").groupBy("h1", "h2").count().filter("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(["__h1", "__h2"])
+    return rows.select(*columns)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = group(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

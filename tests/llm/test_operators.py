@@ -235,6 +235,36 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
 
 
+def jaccard(a, b, k=5):
+    sets = []
+    for t in (a, b):
+        w = t.split()
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_keep_one_leaves_one_of_each_group(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abdeilmnorstu") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    rows, family = [], {}
+    for i in range(150):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 400))]
+        for j in range(1 if i else 120):  # one large family of near copies
+            text = list(base)
+            for _ in range(len(text) // 150 * (j > 0)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            family[len(rows) * 2] = i
+            rows.append((len(rows) * 2, " ".join(text), "en", "s", 1))
+    copies = [(10_000 + i, rows[130 + i][1], "en", "s", 1) for i in range(20)] + [rows[140], rows[140]]
+    blank = [(20_000, None, None, None, None), (20_001, "", "en", "s", 0), (None, "  ", "en", "s", 2)]
+    frame = spark.createDataFrame(rows + copies + blank, DOCS).withColumn("node", F.lit("clash")).withColumn("h1", F.lit(1))
+    got = simhash.keep_one(frame)
+    assert got.columns == frame.columns
+    kept = sorted(r["doc_id"] for r in got.collect())
+    assert kept == sorted([min(d for d, f in family.items() if f == i) for i in range(150)] + [20_000])
+    assert simhash.keep_one(empty(spark)).count() == 0
+
+
 def test_edit_distance_matches_the_table():
     rng = random.Random(4)
     for _ in range(200):
