@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key is hot if it holds more than one in so many rows; there are fewer hot keys than this.
 HOT_SHARE = 1000
+#: Rows that Python gets at a time.
+BATCH = 500
 
 
 def scratch(spark: SparkSession) -> str:
@@ -70,5 +72,13 @@ def ordered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return joined.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__before")
 
 
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow with at most BATCH rows a batch: texts are long, and a task holds a batch in the JVM and in Python."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    return df.mapInArrow(function, schema)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

@@ -13,7 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, text_or_empty
+from .common import map_arrow, partitions, text_or_empty
 
 #: Bytes the rolling hash sees, smallest block size, most and least wanted characters of a signature.
 WINDOW, LEAST_BLOCK, LONGEST, SHORTEST = 7, 3, 64, 32
@@ -115,7 +115,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t) for t in b.column(1).to_pylist()])], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_or_empty(), "UTF-8").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_or_empty(), "UTF-8").alias("text")), run, "doc_id long, fingerprint string")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def edits(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs).mapInArrow(run, schema)
+    return map_arrow(with_next(docs), run, schema)
 
 
 def op8_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, save
+from .common import attach, map_arrow, save
 
 #: Rows per language the text model learns from at most, languages, buckets of byte trigrams.
 SAMPLE, LANGUAGES, BUCKETS = 3_000, 16, 1 << 15
@@ -63,7 +63,7 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
         at, bucket = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(counts[at, bucket])], names=["at", "bucket", "n"])
 
-    summed = chosen.select("text", "declared").mapInArrow(run, "at int, bucket int, n long").groupBy("at", "bucket").agg(F.sum("n").alias("n"))
+    summed = map_arrow(chosen.select("text", "declared"), run, "at int, bucket int, n long").groupBy("at", "bucket").agg(F.sum("n").alias("n"))
     got = summed.toPandas()
     counts = np.zeros((len(languages), BUCKETS))
     counts[got["at"], got["bucket"]] = got["n"]
@@ -92,7 +92,7 @@ def likelihoods(rows: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.names.index(c)) for c in names), pa.array(counts, pa.int64()), ll], names=[*names, "trigrams", "ll"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
-    return rows.mapInArrow(run, ", ".join([*fields, "trigrams long", "ll array<double>"]))
+    return map_arrow(rows, run, ", ".join([*fields, "trigrams long", "ll array<double>"]))
 
 
 def _softmax(xs: list[Column]) -> list[Column]:

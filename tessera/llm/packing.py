@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import map_arrow, save
 
 END = 0
 
@@ -131,7 +131,7 @@ def place(pieces: DataFrame, limits: Limits = Limits(), rule: str = "norm", weig
             yield pa.RecordBatch.from_arrays([*cols, pa.array(at[:, 2] + k // at[:, 3]), pa.array(at[:, 4] + k % at[:, 3] * length)], names=[*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
-    return ranked.mapInArrow(run, f"{fields}, sequence_id long, offset long")
+    return map_arrow(ranked, run, f"{fields}, sequence_id long, offset long")
 
 
 _ENCODERS: dict = {}
@@ -182,7 +182,7 @@ def tokenize(docs: DataFrame, tokenizer: str, limit: int = 2048, with_ids: bool
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.spark_partition_id().alias("part"), "text")
-    return save(rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids array<long>" * with_ids))
+    return save(map_arrow(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids array<long>" * with_ids))
 
 
 def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), rule: str = "norm", weights: Weights = Weights(), with_ids: bool = False) -> DataFrame:

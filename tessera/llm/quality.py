@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 #: Trusted positives and unlabelled texts that the fit sees at most, those of smallest id hash.
 SAMPLE = 12_000
 THRESHOLD = 0.3
@@ -133,7 +135,7 @@ def _matrix(rows: DataFrame) -> np.ndarray:
             for at in range(0, b.num_rows, 500):
                 yield pa.RecordBatch.from_arrays([pa.array([features(t or "").tobytes() for t in b.slice(at, 500).column(0).to_pylist()], pa.binary())], names=["x"])
 
-    found = [r["x"] for r in rows.select("text").mapInArrow(run, "x binary").collect()]
+    found = [r["x"] for r in map_arrow(rows.select("text"), run, "x binary").collect()]
     return np.frombuffer(b"".join(sorted(found)), np.float32).reshape(-1, WIDTH) if found else np.zeros((0, WIDTH), np.float32)
 
 
@@ -169,7 +171,7 @@ def score(docs: DataFrame, model: Model, keep_from: float | None = None) -> Data
                     yield part.filter(pa.array(s >= keep_from))
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(run, ", ".join([*fields, *(["__score double"] if keep_from is None else [])]))
+    return map_arrow(docs, run, ", ".join([*fields, *(["__score double"] if keep_from is None else [])]))
 
 
 def fold(modulus: int):

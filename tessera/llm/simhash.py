@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, ordered, save
+from .common import attach, map_arrow, ordered, save
 
 SEED = 42
 #: Buckets of more fingerprints are linked by bit flips instead of in pairs.
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, keep: tuple[
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(c, pa.int64()) for c in zip(*fps, strict=True))], names=[*keep, *names])
 
     rows = docs.select(*[F.col(c).cast("long").alias(c) for c in keep], F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*keep, *names]))
+    return map_arrow(rows, run, ", ".join(f"{c} long" for c in [*keep, *names]))
 
 
 def _keys(bits: int, blocks: int | None = None) -> list[int]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import map_arrow, save
 from .quality import fold
 
 #: Labelled rows the fit sees at most (smallest id hash), terms of the lexicon, candidates it is chosen from.
@@ -280,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.list_(pa.list_(pa.int64())), pa.string()), strict=True)], names=["toxic", "found", "text"])
 
     automaton.reset()
-    met = rows.select("toxic", "text").mapInArrow(run, "toxic int, found array<array<long>>, text string")
+    met = map_arrow(rows.select("toxic", "text"), run, "toxic int, found array<array<long>>, text string")
     return fit([(r["toxic"], [tuple(m) for m in r["found"]], r["text"]) for r in met.toLocalIterator()], terms)
 
 
@@ -301,7 +301,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores), pa.array(met, pa.list_(pa.string()))], names=["doc_id", "score", "terms"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, score double, terms array<string>")
+    return map_arrow(rows, run, "doc_id long, score double, terms array<string>")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

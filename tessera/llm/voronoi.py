@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import map_arrow, save
 
 #: Pivots, rows of a data block, queries of a subgroup: bounds on what one task holds.
 PIVOTS, BLOCK, SUBGROUP = 24, 20_000, 2_000
@@ -47,7 +47,7 @@ def cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(dist), pa.array(np.sqrt((x * x).sum(1)))], names=[*b.schema.names, "cell", "dist", "norm"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{fields}, cell int, dist double, norm double")
+    return map_arrow(rows, run, f"{fields}, cell int, dist double, norm double")
 
 
 def thresholds(pivots: np.ndarray, radius: dict[int, float], near: dict[int, list[float]], k: int) -> dict[int, float]:
@@ -105,7 +105,7 @@ def top_k(base: DataFrame, queries: Column, k: int = 5) -> DataFrame:
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), v.take(take), pa.array(np.array(groups, np.int32)[g])], names=["vec_id", "v", "cell"])
 
-    data = at.select("vec_id", "v").mapInArrow(send, "vec_id long, v array<long>, cell int")
+    data = map_arrow(at.select("vec_id", "v"), send, "vec_id long, v array<long>, cell int")
     many = F.element_at(F.create_map(*[F.lit(x) for g in groups for x in (g, subgroups[g])]), F.col("cell")) if groups else F.lit(1)
     data = data.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), many - 1)))
     asked = at.filter("is_query").select("vec_id", "v", "cell").distinct()

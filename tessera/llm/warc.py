@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, save, scratch
+from .common import attach, map_arrow, save, scratch
 
 #: Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
@@ -143,7 +143,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
     digest and length with the headers. A revisit's payload is null, its digest and length are the headers'.
     """
     lines = spark.read.option("lineSep", "\r\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("line"))
-    return lines.mapInArrow(_parse(with_payload), READ)
+    return map_arrow(lines, _parse(with_payload), READ)
 
 
 def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
