@@ -5,10 +5,291 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text, vectors
+from ..operators import graph, retrieval, scoring, validation
+from ..sources.tables import edges, nodes, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+#: The searches: text and the vector they start from.
+SEARCHES = [(1, "the thing that was with this", 0), (2, "für die und nicht von der", 1), (3, "pour les dans une avec idiot", 2)]
+SEEDS = ["NT-3", "CU-7", "SU-4", "PT-11"]
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["hybrid_search"](spark, sf_dir)
+
+
+# Validation
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, occurrence FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INTEGER) AS occurrence FROM lineitem) WHERE occurrence > 1")
+def validate_duplicate_ids(spark, d):
+    found = validation.repeats(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], [F.col(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")])
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "occurrence")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0)")
+def validate_broken_fk(spark, d):
+    parents = table(spark, d, "customer").filter("c_custkey % 7 <> 0")
+    return validation.broken_references(table(spark, d, "orders"), "o_custkey", parents, "c_custkey").select("o_orderkey", "o_custkey")
+
+
+@query("""SELECT 'part' AS side, l_orderkey, l_linenumber, CAST(l_partkey AS BIGINT) AS missing FROM lineitem WHERE l_partkey % 11 = 0
+UNION ALL SELECT 'supplier', l_orderkey, l_linenumber, CAST(l_suppkey AS BIGINT) FROM lineitem WHERE l_suppkey % 13 = 0""")
+def validate_relation_endpoints(spark, d):
+    rows = table(spark, d, "lineitem")
+    one = validation.broken_references(rows, "l_partkey", table(spark, d, "part").filter("p_partkey % 11 <> 0"), "p_partkey").select(F.lit("part").alias("side"), "l_orderkey", "l_linenumber", F.col("l_partkey").alias("missing"))
+    two = validation.broken_references(rows, "l_suppkey", table(spark, d, "supplier").filter("s_suppkey % 13 <> 0"), "s_suppkey").select(F.lit("supplier").alias("side"), "l_orderkey", "l_linenumber", F.col("l_suppkey").alias("missing"))
+    return one.unionByName(two)
+
+
+NODES_SQL = """nodes AS (SELECT 'RG-' || r_regionkey AS id, 'Region' AS label, r_name AS title FROM region UNION ALL SELECT 'NT-' || n_nationkey, 'Nation', n_name FROM nation
+UNION ALL SELECT 'CU-' || c_custkey, 'Customer', c_name FROM customer UNION ALL SELECT 'SU-' || s_suppkey, 'Supplier', s_name FROM supplier
+UNION ALL SELECT 'PT-' || p_partkey, 'Part', p_name FROM part UNION ALL SELECT 'OR-' || o_orderkey, 'Order', o_orderstatus FROM orders)"""
+EDGES_SQL = """edges AS (SELECT 'NT-' || n_nationkey AS src, 'IN_REGION' AS rel, 'RG-' || n_regionkey AS dst FROM nation UNION ALL SELECT 'CU-' || c_custkey, 'LIVES_IN', 'NT-' || c_nationkey FROM customer
+UNION ALL SELECT 'SU-' || s_suppkey, 'BASED_IN', 'NT-' || s_nationkey FROM supplier UNION ALL SELECT 'OR-' || o_orderkey, 'PLACED_BY', 'CU-' || o_custkey FROM orders
+UNION ALL SELECT 'OR-' || l_orderkey, 'CONTAINS', 'PT-' || l_partkey FROM lineitem UNION ALL SELECT 'SU-' || l_suppkey, 'SUPPLIES', 'PT-' || l_partkey FROM lineitem)"""
+ADJ_SQL = "adj AS (SELECT src AS id, rel, dst AS other, 'OUTGOING' AS direction FROM edges UNION ALL SELECT dst, rel, src, 'INCOMING' FROM edges)"
+SEEDS_SQL = "seeds AS (SELECT unnest(['NT-3', 'CU-7', 'SU-4', 'PT-11']) AS id)"
+GRAPH_SQL = f"WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, {ADJ_SQL}, {SEEDS_SQL}"
+WALK_SQL = "near AS (SELECT DISTINCT id, other FROM adj), w AS (SELECT id AS seed, id, 0 AS hops FROM seeds UNION SELECT w.seed, near.other, w.hops + 1 FROM w JOIN near USING (id) WHERE w.hops < {hops}), walk AS (SELECT seed, id, CAST(min(hops) AS INTEGER) AS hops FROM w GROUP BY ALL)"
+
+
+def seeds(spark, ids=SEEDS):
+    return spark.createDataFrame([(i,) for i in ids], "id string")
+
+
+@query(f"WITH {NODES_SQL}, a AS (SELECT label AS name, count(*) AS actual FROM nodes GROUP BY 1), e AS (SELECT unnest(['Region', 'Nation', 'Part', 'Ghost']) AS name, unnest([5, 24, 1, 9]) AS declared) SELECT name, CAST(declared AS BIGINT) AS declared, actual, CASE WHEN declared IS NULL THEN 'unmapped' WHEN actual IS NULL THEN 'missing' WHEN declared = actual THEN 'ok' ELSE 'mismatch' END AS status FROM e FULL JOIN a USING (name)")
+def manifest_count_check(spark, d):
+    declared = spark.createDataFrame([("Region", 5), ("Nation", 24), ("Part", 1), ("Ghost", 9)], "name string, declared long")
+    return validation.count_mismatches(nodes(spark, d).groupBy(F.col("label").alias("name")).agg(F.count("*").alias("actual")), declared)
+
+
+# Graph
+
+
+@query(f"WITH {NODES_SQL} SELECT label, count(*) AS n FROM nodes GROUP BY label")
+def nodes_by_label(spark, d):
+    return nodes(spark, d).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {EDGES_SQL} SELECT rel, count(*) AS n FROM edges GROUP BY rel")
+def edges_by_type(spark, d):
+    return edges(spark, d).groupBy("rel").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_suppkey, l_partkey, arg_max(l_quantity, (l_shipdate, l_orderkey, l_linenumber, l_quantity)) AS l_quantity, count(*) AS provenance FROM lineitem GROUP BY 1, 2")
+def edges_merged(spark, d):
+    return graph.merge_edges(table(spark, d, "lineitem"), ["l_suppkey", "l_partkey"], [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber")], ["l_quantity"])
+
+
+@query(f"{GRAPH_SQL} SELECT a.id, a.rel, a.direction, a.other, n.label, n.title FROM adj a JOIN seeds USING (id) JOIN nodes n ON n.id = a.other")
+def neighbors(spark, d):
+    return graph.neighbors(edges(spark, d), nodes(spark, d), seeds(spark))
+
+
+@query(f"WITH {EDGES_SQL}, {ADJ_SQL} SELECT id, count(*) AS degree FROM adj GROUP BY id")
+def node_degree(spark, d):
+    return graph.degree(edges(spark, d))
+
+
+@query(f"{GRAPH_SQL}, {WALK_SQL.format(hops=3)} SELECT seed, id, hops FROM walk")
+def bfs_distance(spark, d):
+    return graph.walk(edges(spark, d, ("IN_REGION", "LIVES_IN", "BASED_IN", "PLACED_BY", "CONTAINS", "SUPPLIES")), seeds(spark), 3)
+
+
+@query(f"{GRAPH_SQL}, {WALK_SQL.format(hops=2)}, f AS (SELECT walk.*, min(hops) OVER (PARTITION BY seed) AS least FROM walk JOIN nodes USING (id) WHERE hops > 0 AND label = 'Customer') SELECT seed, id, hops FROM f WHERE hops = least QUALIFY row_number() OVER (PARTITION BY seed ORDER BY id) <= 50")
+def related_direct_or_two_hop(spark, d):
+    return graph.related(edges(spark, d), seeds(spark), nodes(spark, d), "Customer")
+
+
+@query(f"{GRAPH_SQL}, {WALK_SQL.format(hops=1)}, i AS (SELECT DISTINCT id FROM walk WHERE seed IN ('CU-7', 'SU-4')) SELECT DISTINCT src, rel, dst FROM edges WHERE src IN (SELECT id FROM i) AND dst IN (SELECT id FROM i)")
+def induced_subgraph(spark, d):
+    return graph.induced(edges(spark, d), seeds(spark, ["CU-7", "SU-4"]), 1)
+
+
+@query("SELECT n_name, count(DISTINCT s_suppkey) AS suppliers, coalesce(array_to_string(list_sort(list_distinct(list(s_name) FILTER (s_name IS NOT NULL))), '|'), '') AS names FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name")
+def optional_collect_distinct(spark, d):
+    rows = table(spark, d, "nation").join(table(spark, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    return rows.groupBy("n_name").agg(F.countDistinct("s_suppkey").alias("suppliers"), F.concat_ws("|", F.array_sort(F.collect_set("s_name"))).alias("names"))
+
+
+# Text
+
+TOKENS_SQL = "toks AS (SELECT doc_id, lang, list_filter(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[0-9a-z]+'), lambda x: len(x) > 2) AS t FROM documents)"
+TERMS_SQL = TOKENS_SQL + ", sized AS (SELECT doc_id, lang, greatest(1, len(t)) AS len, t FROM toks), terms AS (SELECT doc_id, lang, len, unnest(list_concat(t, [t[i] || ' ' || t[i + 1] FOR i IN range(1, greatest(len(t), 1))])) AS term FROM sized), tf AS (SELECT doc_id, lang, len, term, count(*) AS tf FROM terms GROUP BY ALL)"
+
+
+@query("SELECT p_partkey, concat_ws(chr(10), CASE WHEN trim(p_name) <> '' THEN 'Name: ' || trim(p_name) END, CASE WHEN trim(p_brand) <> '' THEN 'Brand: ' || trim(p_brand) END, CASE WHEN trim(p_type) <> '' THEN 'Type: ' || trim(p_type) END) AS semantic_text FROM part")
+def semantic_text(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.labelled(("Name", F.col("p_name")), ("Brand", F.col("p_brand")), ("Type", F.col("p_type"))).alias("semantic_text"))
+
+
+@query(r"WITH f AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 320 THEN rtrim(t[:319]) || '…' ELSE t END AS excerpt FROM f")
+def excerpt(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query(f"WITH {TOKENS_SQL} SELECT doc_id, CAST(len(t) AS INTEGER) AS tokens, CAST(len(list_distinct(t)) AS INTEGER) AS distinct_tokens, CAST(greatest(len(t) - 1, 0) AS INTEGER) AS bigrams FROM toks")
+def token_stats(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", text.tokenize(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.size("t").alias("tokens"), F.size(F.array_distinct("t")).alias("distinct_tokens"), F.size(text.bigrams(F.col("t"))).alias("bigrams"))
+
+
+@query(f"WITH {TERMS_SQL} SELECT lang, term, CAST(sum(tf) AS BIGINT) AS n, count(*) AS docs FROM tf GROUP BY 1, 2 HAVING sum(tf) >= 20")
+def term_statistics(spark, d):
+    rows = retrieval.postings(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("kind"), "text"))
+    return rows.groupBy(F.col("kind").alias("lang"), "term").agg(F.sum("tf").alias("n"), F.count("*").alias("docs")).filter("n >= 20")
+
+
+@query(f"WITH {TOKENS_SQL}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, list_distinct(a.t) AS x, list_distinct(b.t) AS y FROM toks a JOIN toks b ON b.doc_id = a.doc_id + 1) SELECT a, b, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE, 4) END AS jaccard, CASE WHEN least(len(x), len(y)) = 0 THEN 0.0 ELSE round(len(list_intersect(x, y)) / least(len(x), len(y))::DOUBLE, 4) END AS overlap FROM p")
+def jaccard_overlap(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", text.tokenize(F.col("text")).alias("t"))
+    pairs = rows.select(F.col("doc_id").alias("a"), F.col("t").alias("x")).join(rows.select(F.col("doc_id").alias("b"), F.col("t").alias("y")), F.col("b") == F.col("a") + 1)
+    return pairs.select("a", "b", F.round(text.jaccard(F.col("x"), F.col("y")), 4).alias("jaccard"), F.round(text.overlap(F.col("x"), F.col("y")), 4).alias("overlap"))
+
+
+@query("SELECT o_orderkey, 'CU-' || lpad(o_custkey::VARCHAR, 5, '0') || '|OR-' || lpad((o_orderkey % 100000)::VARCHAR, 5, '0') AS ids FROM orders")
+def canonical_ids(spark, d):
+    line = F.format_string("see CU-%05d, then OR-%05d; CU-%05d again, not x1-22 or AB-1", "o_custkey", F.col("o_orderkey") % 100000, "o_custkey")
+    return table(spark, d, "orders").select("o_orderkey", F.concat_ws("|", text.canonical_ids(line)).alias("ids"))
+
+
+# Retrieval
+
+ASKED_SQL = "q0 AS (SELECT * FROM (VALUES (1, 'the thing that was with this', 0), (2, 'für die und nicht von der', 1), (3, 'pour les dans une avec idiot', 2)) v(query, text, vec)), q1 AS (SELECT query, list_filter(regexp_extract_all(lower(strip_accents(text)), '[0-9a-z]+'), lambda x: len(x) > 2) AS t FROM q0), q AS (SELECT DISTINCT query, unnest(list_concat(t, [t[i] || ' ' || t[i + 1] FOR i IN range(1, greatest(len(t), 1))])) AS term FROM q1)"
+BM25_SQL = f"{TERMS_SQL}, {ASKED_SQL}, whole AS (SELECT count(*) AS n, avg(len) AS avg_len FROM sized), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), parts AS (SELECT query, doc_id AS id, lang AS kind, term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) AS part FROM tf JOIN q USING (term) JOIN df USING (term), whole), lex AS (SELECT query, id, kind, sum(part) AS score FROM parts GROUP BY ALL)"
+VEC_SQL = "unit AS (SELECT vec_id AS id, label::VARCHAR AS kind, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings)"
+
+
+def _searches(spark):
+    return spark.createDataFrame(SEARCHES, "query int, text string, vec long")
+
+
+def _docs(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("kind"), "text")
+
+
+@query(f"WITH {BM25_SQL} SELECT query, id, kind, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY query, kind ORDER BY round(score, 8) DESC, id) AS INTEGER) AS rank FROM lex QUALIFY row_number() OVER (PARTITION BY query, kind ORDER BY round(score, 8) DESC, id) <= 30")
+def bm25_search_by_type(spark, d):
+    scored = retrieval.bm25(_docs(spark, d), _searches(spark)).withColumn("score", F.round("score", 8))
+    return retrieval.top_per_kind(scored, 30).withColumn("score", F.round("score", 4))
+
+
+@query(f"WITH {BM25_SQL} SELECT query, id, string_agg(term, '|' ORDER BY idf DESC, term) AS terms FROM parts GROUP BY 1, 2")
+def bm25_matched_terms(spark, d):
+    return retrieval.matched_terms(_docs(spark, d), _searches(spark))
+
+
+def _query_vectors(spark, d):
+    own = table(spark, d, "embeddings").select("vec_id", "embedding")
+    asked = _searches(spark).select("query", "vec").join(own, F.col("vec") == F.col("vec_id")).select("query", F.col("embedding").alias("a"), (F.col("vec") + 10).alias("source"))
+    return asked.join(own, F.col("source") == F.col("vec_id")).select("query", vectors.mixed(vectors.normalized(F.col("a")), vectors.normalized(F.col("embedding"))).alias("vector"))
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("kind"), "embedding")
+
+
+MIX_SQL = "mix AS (SELECT query, [0.65 * a.e[i] / a.norm + 0.35 * b.e[i] / b.norm FOR i IN range(1, len(a.e) + 1)] AS m FROM q0 JOIN unit a ON a.id = q0.vec JOIN unit b ON b.id = q0.vec + 10), cosine AS (SELECT query, u.id, u.kind, list_inner_product(u.e, m) / u.norm / sqrt(list_inner_product(m, m)) AS score FROM unit u, mix)"
+
+
+@query(f"WITH {ASKED_SQL}, {VEC_SQL}, {MIX_SQL} SELECT query, id, kind, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY query, kind ORDER BY round(score, 8) DESC, id) AS INTEGER) AS rank FROM cosine QUALIFY row_number() OVER (PARTITION BY query, kind ORDER BY round(score, 8) DESC, id) <= 30")
+def vector_topk_by_type(spark, d):
+    scored = retrieval.cosine(_vectors(spark, d), _query_vectors(spark, d)).withColumn("score", F.round("score", 8))
+    return retrieval.top_per_kind(scored, 30).withColumn("score", F.round("score", 4))
+
+
+HYBRID_SQL = f"""WITH {BM25_SQL}, {VEC_SQL}, {MIX_SQL}, l AS (SELECT query, id, kind, round(score, 8) AS score FROM lex),
+c AS (SELECT query, id, d.lang AS kind, round(score, 8) AS score FROM cosine JOIN documents d ON d.doc_id = cosine.id),
+found AS (SELECT query, id, kind, 'lexical' AS channel FROM l QUALIFY row_number() OVER (PARTITION BY query, kind ORDER BY score DESC, id) <= 30
+  UNION ALL SELECT query, id, kind, 'vector' FROM c QUALIFY row_number() OVER (PARTITION BY query, kind ORDER BY score DESC, id) <= 30),
+m AS (SELECT query, id, kind, string_agg(channel, '+' ORDER BY channel) AS channels FROM found GROUP BY ALL),
+n AS (SELECT m.*, coalesce(c.score, 0.0) AS cos, coalesce(l.score / max(l.score) OVER (PARTITION BY m.query), 0.0) AS lexnorm FROM m LEFT JOIN l USING (query, id) LEFT JOIN c USING (query, id)),
+s AS (SELECT n.*, 0.7 * least(1, greatest(0, cos)) + 0.3 * lexnorm AS semantic, CASE WHEN g.quality IS NULL THEN 0.2 ELSE 0.8 END AS evidence, coalesce(g.toxic = 1, false) AS inactive, least(1, ln(1 + length(text)) / ln(1 + 4000.0)) AS graph
+  FROM n JOIN documents d ON d.doc_id = n.id LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) g ON g.doc_id = n.id),
+t AS (SELECT *, least(0.35, CASE WHEN inactive THEN 0.15 ELSE 0 END + CASE WHEN evidence < 0.3 THEN 0.1 ELSE 0 END + CASE WHEN semantic < 0.35 AND lexnorm < 0.2 THEN 0.08 ELSE 0 END) AS penalty FROM s),
+u AS (SELECT *, round(greatest(0, (0.6 * semantic + 0.2 * evidence + 0.2 * graph) - penalty), 6) AS total FROM t),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY total DESC, id) AS INTEGER) AS rank FROM u),
+k AS (SELECT *, row_number() OVER (PARTITION BY query, kind ORDER BY rank) AS in_kind FROM ranked),
+sel AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY CAST(in_kind > 2 AS INTEGER), rank) AS INTEGER) AS place FROM k)"""
+
+
+def _scored(spark, d):
+    lexical = retrieval.bm25(_docs(spark, d), _searches(spark)).withColumn("score", F.round("score", 8))
+    kinds = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("kind"), F.length("text").alias("size"))
+    near = retrieval.cosine(_vectors(spark, d), _query_vectors(spark, d)).drop("kind").join(kinds.drop("size"), "id").withColumn("score", F.round("score", 8))
+    rows = retrieval.candidates(lexical, near, 30)
+    graded = table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    rows = rows.join(kinds.select("id", "size"), "id").join(graded, "id", "left")
+    rows = rows.withColumn("semantic", scoring.semantic(F.col("cos"), F.col("lexnorm"))).withColumn("evidence", F.when(F.col("quality").isNull(), 0.2).otherwise(0.8))
+    rows = rows.withColumn("graph", scoring.connectivity(F.col("size"), 4000)).withColumn("inactive", F.coalesce(F.col("toxic") == 1, F.lit(False)))
+    rows = rows.withColumn("penalty", scoring.penalties(F.col("inactive"), F.col("evidence"), F.col("semantic"), F.col("lexnorm")))
+    base = scoring.weighted_available((F.col("semantic"), 0.6), (F.col("evidence"), 0.2), (F.col("graph"), 0.2))
+    rows = rows.withColumn("total", F.round(F.greatest(F.lit(0.0), base - F.col("penalty")), 6))
+    return scoring.ranked(rows)
+
+
+@query(f"{HYBRID_SQL} SELECT query, id, kind, channels, round(semantic, 4) AS semantic, round(penalty, 4) AS penalty, total, rank FROM ranked")
+def hybrid_candidates(spark, d):
+    rows = _scored(spark, d)
+    return rows.select("query", "id", "kind", "channels", *[F.round(c, 4).alias(c) for c in ("semantic", "penalty")], "total", "rank")
+
+
+@query(f"{HYBRID_SQL} SELECT query, id, kind, rank, place, total, CASE WHEN semantic < 0.45 OR total < 0.55 THEN 'low' WHEN total >= 0.7 THEN 'high' ELSE 'medium' END AS confidence FROM sel WHERE place <= 10")
+def hybrid_search(spark, d):
+    chosen = scoring.diversified(_scored(spark, d), 10)
+    return chosen.select("query", "id", "kind", "rank", "place", "total", scoring.confidence(F.col("semantic"), F.col("total")).alias("confidence"))
+
+
+# Evaluation
+
+
+def _grades(spark, d):
+    return table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("grade"))
+
+
+@query(f"{HYBRID_SQL} SELECT query, count(*) AS retrieved, count(grade) AS labelled, count(*) FILTER (grade > 0) AS hits, round(count(*) FILTER (grade > 0) / count(*)::DOUBLE, 4) AS precision, round(count(*) FILTER (grade > 0) / nullif(count(grade), 0)::DOUBLE, 4) AS labelled_precision FROM sel LEFT JOIN (SELECT doc_id AS id, max(quality) AS grade FROM labels GROUP BY 1) USING (id) WHERE place <= 10 GROUP BY query")
+def precision_at_k(spark, d):
+    found = scoring.precision(scoring.diversified(_scored(spark, d), 10).select("query", "id", "place"), _grades(spark, d), 10)
+    return found.withColumn("precision", F.round("precision", 4)).withColumn("labelled_precision", F.round("labelled_precision", 4))
+
+
+@query(f"{HYBRID_SQL}, g AS (SELECT query, id, place, pow(2.0, coalesce(grade, 0)) - 1 AS gain FROM sel LEFT JOIN (SELECT doc_id AS id, max(quality) AS grade FROM labels GROUP BY 1) USING (id) WHERE place <= 10), i AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY gain DESC, id) AS ideal FROM g) SELECT query, round(CASE WHEN sum(gain) > 0 THEN sum(gain / log2(place + 1)) / sum(gain / log2(ideal + 1)) ELSE 0 END, 4) AS ndcg FROM i GROUP BY query")
+def ndcg_at_k(spark, d):
+    return scoring.ndcg(scoring.diversified(_scored(spark, d), 10).select("query", "id", "place"), _grades(spark, d), 10).withColumn("ndcg", F.round("ndcg", 4))
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, round(median(value), 4) AS median, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
+def latency_percentiles(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.median("value"), 4).alias("median"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
+
+
+@query("WITH y AS (SELECT max(year(o_orderdate)) AS reference FROM orders) SELECT o_orderkey, CAST(reference AS INTEGER) AS reference_year, round(pow(0.5, (reference - year(o_orderdate)) / 6.0), 4) AS recency FROM orders, y")
+def reference_year(spark, d):
+    orders = table(spark, d, "orders")
+    year = F.year("o_orderdate")
+    reference = orders.agg(F.max(F.when(year.between(1901, 2199), year)).alias("reference_year"))
+    return orders.join(F.broadcast(reference)).select("o_orderkey", "reference_year", F.round(scoring.recency(year, F.col("reference_year")), 4).alias("recency"))
+
+
+@query("SELECT d.doc_id, sha256(coalesce(d.text, '')) AS sha, CASE WHEN e.vec_id IS NULL THEN 'pending' WHEN d.doc_id % 10 = 0 THEN 'stale' ELSE 'reused' END AS state FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
+def embedding_coverage(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    known = table(spark, d, "embeddings").select(F.col("vec_id").alias("known_id")).join(docs, F.col("known_id") == F.col("doc_id")).select("known_id", F.when(F.col("known_id") % 10 == 0, F.lit("old")).otherwise(F.col("sha")).alias("known_sha"))
+    state = F.when(F.col("known_sha").isNull(), "pending").when(F.col("known_sha") != F.col("sha"), "stale").otherwise("reused")
+    return docs.join(known, F.col("doc_id") == F.col("known_id"), "left").select("doc_id", "sha", state.alias("state"))
