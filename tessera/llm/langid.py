@@ -64,9 +64,9 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(counts[at, bucket])], names=["at", "bucket", "n"])
 
     summed = map_arrow(chosen.select("text", "declared"), run, "at int, bucket int, n long").groupBy("at", "bucket").agg(F.sum("n").alias("n"))
-    got = summed.toPandas()
+    got = summed.toArrow()
     counts = np.zeros((len(languages), BUCKETS))
-    counts[got["at"], got["bucket"]] = got["n"]
+    counts[got["at"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
     smooth = counts + 0.5
     return Model(languages, np.log(smooth / smooth.sum(1, keepdims=True)).T.astype(np.float32).copy())
 
@@ -134,6 +134,9 @@ def fuse(scored: DataFrame, model: Model) -> DataFrame:
 
     known = hosts.select(F.xxhash64("host", "domain", "suffix").alias("place"), "host", "domain", "suffix", *[F.col(f"s{i}").alias(f"__host_s{i}") for i in range(n)], F.col("w").alias("__host_w"), F.col("n").alias("__rows"))
     for level in ("domain", "suffix"):
+        if hosts.filter(f"{level} is not null").isEmpty():  # no evidence of this kind anywhere
+            known = known.withColumns({f"__{level}_{c}": F.lit(None).cast("double") for c in [*(f"s{i}" for i in range(n)), "w"]})
+            continue
         facts = hosts.filter(f"{level} is not null").groupBy(level).agg(*again)
         counted = save(hosts.filter(f"{level} is not null").groupBy(level).agg(F.count("*").alias("hosts")))
         facts = facts.drop("n").join(counted.withColumnRenamed("hosts", "n"), level)  # here a key's rows are its hosts
