@@ -163,8 +163,8 @@ def fuse(scored: DataFrame, model: Model) -> DataFrame:
         declared = F.log((rest("said", i) + KAPPA * g[i]) / (others("said") + KAPPA) / g[i])
         suffix = F.log((rest("suffix", i) + KAPPA * g[i]) / (others("suffix") + KAPPA) / g[i]) * KAPPA / (others("host") + KAPPA)
         final.append(ll[i] + F.log(host) + declared + suffix)
-    for i, x in enumerate(final):
-        rows = rows.withColumn(f"__f{i}", x)
+    # Written here, for a filter on the result would otherwise copy these terms into each of its own.
+    rows = save(rows.select(*[c for c in scored.columns if c != "ll"], *[x.alias(f"__f{i}") for i, x in enumerate(final)]))
     posterior = _softmax([F.col(f"__f{i}") for i in range(n)])
     best = F.array_max(F.array(*[F.struct(p.alias("p"), F.lit(-i).alias("i")) for i, p in enumerate(posterior)]))
     rows = rows.withColumn("__best", best)
@@ -236,7 +236,8 @@ def accepted(docs: DataFrame, bound: int = 100_000) -> DataFrame:
     evidence = of_documents(docs).columns
     rows = docs.withColumn("__row", key)
     wide = rows.select("__row", F.col("text"), declared_code(F.col("lang")).alias("declared"), F.col("source").alias("host"), *[F.lit(None).cast("string").alias(c) for c in evidence[-2:]])
-    gone = save(identify(wide).filter(~F.col("accepted")).select("__row").distinct())
+    decided = save(identify(wide).select("__row", "accepted"))
+    gone = save(decided.filter(~F.col("accepted")).select("__row").distinct())
     if gone.count() <= bound:
         gone = F.broadcast(gone)
     return rows.join(gone, "__row", "left_anti").select(*docs.columns)
