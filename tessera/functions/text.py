@@ -61,3 +61,19 @@ def canonical_ids(text: Column) -> Column:
 def labelled(*fields: tuple[str, Column]) -> Column:
     """'Label: value' lines of the fields that are not empty."""
     return F.concat_ws("\n", *[F.when(F.trim(c) != "", F.concat(F.lit(f"{label}: "), F.trim(c))) for label, c in fields])
+
+
+_LABEL = r"[A-Z][A-Za-z ]{0,40}: "
+
+
+def sections(labelled_text: Column) -> Column:
+    """The inverse of ``labelled``: an array of (label, value); lines without a label continue the one before, or are dropped."""
+    folded = F.regexp_replace(labelled_text, rf"\n(?!{_LABEL})", " ")
+    lines = F.filter(F.split(folded, "\n"), lambda x: x.rlike(f"^{_LABEL}"))
+    return F.transform(lines, lambda x: F.struct(F.substring_index(x, ": ", 1).alias("label"), F.trim(F.regexp_replace(x, f"^{_LABEL}", "")).alias("value")))
+
+
+def lexicon_hits(text: Column, terms: tuple[str, ...]) -> Column:
+    """The lexicon's terms that occur in the normalised text, as substrings."""
+    flat = normalize(text)
+    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: flat.contains(t))

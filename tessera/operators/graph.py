@@ -58,3 +58,29 @@ def induced(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     inside = walk(edges, seeds, hops).select("id").distinct()
     kept = edges.select("src", "rel", "dst").distinct()
     return kept.join(inside.withColumnRenamed("id", "src"), "src", "left_semi").join(inside.withColumnRenamed("id", "dst"), "dst", "left_semi")
+
+
+def expand(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id, hops, seed, path) of all nodes within two hops of the seeds (id, seed_rank), each by its shortest path.
+
+    Ties go to the seed of the lower rank and then to the smaller path. A seed can be found by going out and back.
+    """
+    arrow = F.when(F.col("direction") == "OUTGOING", F.concat(F.lit(" -"), "rel", F.lit("-> "))).otherwise(F.concat(F.lit(" <-"), "rel", F.lit("- ")))
+    near = adjacency(edges).select("id", "other", F.concat(arrow, "other").alias("step")).distinct()
+    one = seeds.join(near, "id").select(F.col("other").alias("id"), F.lit(1).alias("hops"), "seed_rank", F.col("id").alias("seed"), F.concat("id", "step").alias("path"))
+    two = one.join(near, "id").select(F.col("other").alias("id"), F.lit(2).alias("hops"), "seed_rank", "seed", F.concat("path", "step").alias("path"))
+    best = one.unionByName(two).groupBy("id").agg(F.min(F.struct("hops", "seed_rank", "path", "seed")).alias("b"))
+    return best.select("id", "b.hops", "b.seed", "b.path")
+
+
+def shared_neighbors(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(seed, id, shared, either): the pair's common neighbours and all their neighbours."""
+    near = adjacency(edges).select("id", "other").distinct()
+    mine = near.join(pairs.select(F.col("seed").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("seed"), "other")
+    theirs = near.join(pairs.select("id").distinct(), "id", "left_semi")
+    common = pairs.select("seed", "id").join(mine, "seed").join(theirs, ["id", "other"]).groupBy("seed", "id").agg(F.count("*").alias("shared"))
+    sizes = theirs.groupBy("id").agg(F.count("*").alias("n"))
+    own = mine.groupBy("seed").agg(F.count("*").alias("m"))
+    rows = pairs.select("seed", "id").join(sizes, "id", "left").join(own, "seed", "left").join(common, ["seed", "id"], "left")
+    shared = F.coalesce("shared", F.lit(0))
+    return rows.select("seed", "id", shared.alias("shared"), (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0)) - shared).alias("either"))

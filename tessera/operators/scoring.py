@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import clamp01, rescale
+from ..functions.text import clamp01, jaccard, overlap, rescale
 
 
 def weighted_available(*signals: tuple[Column, float]) -> Column:
@@ -64,3 +64,109 @@ def ndcg(selected: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     rows = rows.withColumn("ideal", F.row_number().over(W.partitionBy("query").orderBy(F.desc("gain"), "id")))
     sums = rows.groupBy("query").agg(F.sum(F.col("gain") / F.log2(F.col("place") + 1)).alias("got"), F.sum(F.col("gain") / F.log2(F.col("ideal") + 1)).alias("best"))
     return sums.select("query", F.when(F.col("best") > 0, F.col("got") / F.col("best")).otherwise(F.lit(0.0)).alias("ndcg"))
+
+
+def domain(asked: Column, anchors: Column, topical: Column, asked_area: Column, area: Column) -> Column:
+    """Shared anchors .35, topical likeness .40, overlap of area terms .25; nothing asked is no evidence, nothing offered is 0."""
+    shared = F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, anchors)) / F.size(F.array_distinct(asked)))
+    return weighted_available((shared, 0.35), (topical, 0.40), (F.when(F.size(asked_area) > 0, overlap(asked_area, area)), 0.25))
+
+
+def method(asked: Column, found: Column, most: float = 0.75) -> Column:
+    """The share of the query's methods found; for a query that names none, how much the candidate declares, up to ``most``."""
+    n = F.size(found)
+    declared = F.least(F.lit(most), F.when(n > 0, 0.5).otherwise(0.0) + 0.5 * F.least(F.lit(1.0), n / 3))
+    return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, found)) / F.size(F.array_distinct(asked))).otherwise(declared)
+
+
+def graph(hops: Column, degree: Column, bridge: Column, decay: tuple[float, ...] = (1.0, 0.6, 0.3)) -> Column:
+    """Proximity .45 by distance, connectivity .35, bridge .20; unreachable is proximity 0."""
+    near = F.when(hops.between(1, len(decay)), F.element_at(F.array(*[F.lit(x) for x in decay]), hops)).otherwise(0.0)
+    return weighted_available((near, 0.45), (connectivity(degree), 0.35), (bridge, 0.20))
+
+
+def evidence(fields: list[Column], source: list[Column], relations: Column, documents: Column) -> Column:
+    """Filled fields .50, known parts of the provenance .20, relations with provenance (three suffice) .20, documents .10."""
+
+    def filled(cells: list[Column]) -> Column:
+        return sum((F.coalesce((F.trim(c.cast("string")) != "").cast("int"), F.lit(0)) for c in cells), F.lit(0)) / len(cells)
+
+    return weighted_available((filled(fields), 0.50), (filled(source), 0.20), (F.least(F.lit(1.0), relations / 3), 0.20), (documents, 0.10))
+
+
+def actionable(status: Column, scores: dict[str, float], year: Column, reference: Column, people: Column, outputs: Column, resources: Column, unknown: float = 0.70) -> Column:
+    """Status .35 (from ``scores``, others ``unknown``), recency .25, people .20, outputs .10, resources .10; nulls give their weight away."""
+    known = F.lit(unknown)
+    for name, score in scores.items():
+        known = F.when(status == name, score).otherwise(known)
+    return weighted_available((known, 0.35), (recency(year, reference), 0.25), (people, 0.20), (outputs, 0.10), (resources, 0.10))
+
+
+def redundancy(rows: DataFrame, profiles: DataFrame, window: int = 50, least: float = 0.8, penalty: float = 0.06) -> DataFrame:
+    """Ranked rows ranked anew after rows like a better one in the query's first ``window`` lose ``penalty``; adds redundancy.
+
+    ``profiles`` has (id, terms). A duplicate still counts for those behind it. At most window * (window - 1) / 2 pairs a query.
+    """
+    top = rows.filter(F.col("rank") <= window).select("query", "id", "rank").join(profiles, "id")
+    better = top.select("query", F.col("rank").alias("ahead"), F.col("terms").alias("other"))
+    pairs = top.join(better, "query").filter("ahead < rank")
+    like = pairs.groupBy("query", "id").agg(F.max(jaccard(F.col("terms"), F.col("other"))).alias("likeness"))
+    found = rows.join(like.filter(F.col("likeness") >= least).select("query", "id", F.lit(penalty).alias("lost")), ["query", "id"], "left")
+    lost = F.coalesce("lost", F.lit(0.0))
+    cut = found.withColumn("redundancy", lost).withColumn("total", F.round(F.greatest(F.lit(0.0), F.col("total") - lost), 6)).drop("lost")
+    return ranked(cut.drop("rank"))
+
+
+def relation(kind: Column, names: dict[str, str], completed: Column, compared: Column, others: Column, graph_only: Column) -> Column:
+    """Name of the inferred relation: by kind; ANTECEDENT if completed; METHOD if that signal is at least .60 and .25 ahead; GRAPH last."""
+    by_kind = F.lit("RELATED_TO")
+    for key, name in names.items():
+        by_kind = F.when(kind == key, name).otherwise(by_kind)
+    return F.when(graph_only, "CONNECTED_TO").when((compared >= 0.60) & (compared - others >= 0.25), "SHARES_METHOD").when(completed, "ANTECEDENT_OF").otherwise(by_kind)
+
+
+def discarded(rows: DataFrame, selected: DataFrame, limit: int = 3) -> DataFrame:
+    """The max(1, limit - 1) best rows that were not selected and the query's worst of them, each with a reason."""
+    missed = rows.join(selected.select("query", "id"), ["query", "id"], "left_anti")
+    near = F.row_number().over(W.partitionBy("query").orderBy("rank"))
+    far = F.row_number().over(W.partitionBy("query").orderBy(F.desc("rank")))
+    shown = missed.withColumn("near", near).withColumn("far", far).filter((F.col("near") <= max(1, limit - 1)) | (F.col("far") == 1))
+    reason = F.when(F.col("penalty") > 0, "penalised").when(F.col("total") < 0.3, "low total").otherwise("behind the selection")
+    return shown.withColumn("reason", reason).drop("near", "far")
+
+
+def evidence_items(fields: DataFrame, terms: DataFrame, most: int = 4) -> DataFrame:
+    """The ``most`` fields (query, id, position, field, words) with the most of the query's ``terms`` (query, term); ties by position."""
+    asked = terms.groupBy("query").agg(F.collect_set("term").alias("asked"))
+    rows = fields.join(asked, "query").withColumn("hits", F.size(F.array_intersect("words", "asked"))).drop("asked", "words")
+    order = F.row_number().over(W.partitionBy("query", "id").orderBy(F.desc("hits"), "position"))
+    return rows.withColumn("item", order).filter(F.col("item") <= most)
+
+
+def opportunities(summary: DataFrame, rules: list[tuple[str, dict[str, float]]], fallback: str) -> DataFrame:
+    """(query, rule, number, priority): the rules, in order, whose every requirement the query's summary meets, else the fallback.
+
+    A requirement is a column of ``summary`` and its least value; a column that is not there raises.
+    """
+    unknown = {c for _, needs in rules for c in needs} - set(summary.columns)
+    if unknown:
+        raise ValueError(f"unknown requirements: {sorted(unknown)}")
+    met = []
+    for name, needs in rules:
+        all_met = F.lit(True)
+        for column, least in needs.items():
+            all_met &= F.coalesce(F.col(column) >= least, F.lit(False))
+        met.append(F.when(all_met, name))
+    found = F.filter(F.array(*met), lambda x: x.isNotNull())
+    named = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(fallback)))
+    priority = F.when(F.col("top") >= 0.60, "HIGH").when(F.col("top") >= 0.40, "MEDIUM").otherwise("LOW")
+    return summary.select("query", priority.alias("priority"), F.posexplode(named).alias("at", "rule")).select("query", "rule", (F.col("at") + 1).alias("number"), "priority")
+
+
+def explanation(kind: Column, meaning: Column, proof: Column, total: Column, level: Column) -> Column:
+    """One plain sentence on a ranked row."""
+
+    def percent(x: Column) -> Column:
+        return F.round(x * 100, 0).cast("int")
+
+    return F.format_string("%s: total %d%%, meaning %d%%, evidence %d%%; confidence %s", kind, percent(total), percent(meaning), percent(proof), level)

@@ -22,3 +22,9 @@ def count_mismatches(actual: DataFrame, declared: DataFrame) -> DataFrame:
     both = declared.join(actual, "name", "full")
     status = F.when(F.col("declared").isNull(), "unmapped").when(F.col("actual").isNull(), "missing").when(F.col("declared") == F.col("actual"), "ok").otherwise("mismatch")
     return both.withColumn("status", status)
+
+
+def unknown_ids(rows: DataFrame, key: str, ids, known: DataFrame) -> DataFrame:
+    """(key, unknown): identifiers that a text cites and no node has; ``ids`` is an array column, ``known`` has id."""
+    cited = rows.select(key, F.explode(ids).alias("unknown"))
+    return cited.join(known.select(F.col("id").alias("unknown")), "unknown", "left_anti")

@@ -1 +1,3 @@
+"""Registered queries: catalog holds the registry, connections adds to it."""
 
+from . import catalog, connections  # noqa: F401

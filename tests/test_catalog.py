@@ -1,15 +1,18 @@
 """Every registered query of the engine against its DuckDB SQL on the smallest tables."""
 
+import hashlib
+import math
 import os
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import text, vectors
+from tessera.functions import embedding, text, typed, vectors
 from tessera.operators import graph, scoring, validation
 from tessera.plans import catalog
 from tessera.sources.tables import read_csv, read_json_lines
+from tessera.streaming.resume import follow
 
 DATA = "/root/testdata/sf0.001"
 TABLES = [p.removesuffix(".parquet") for p in os.listdir(DATA) if p.endswith(".parquet")] if os.path.isdir(DATA) else []
@@ -22,7 +25,7 @@ def cell(x):
 
 
 @pytest.mark.skipif(not TABLES, reason="no tables")
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -71,3 +74,52 @@ def test_readers(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": "a", "n": 1}\n{"id": \n')
     with pytest.raises(Exception, match="(?i)malformed"):
         read_json_lines(spark, str(tmp_path / "a.jsonl"), "id string, n long").collect()
+
+
+def test_blake2b_places_by_the_first_bytes(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, None)], "id int, t array<string>")
+    got = {r[0]: r[1] for r in rows.select("id", embedding.blake2b(F.col("t"), 8)).collect()}
+    want = [0.0] * 8
+    for term in ("a", "b", "a"):
+        digest = hashlib.blake2b(term.encode(), digest_size=8).digest()
+        want[int.from_bytes(digest[:4], "big") % 8] += (-1) ** digest[4]
+    norm = math.sqrt(sum(x * x for x in want))
+    assert got[1] == pytest.approx([x / norm for x in want])
+    assert got[2] == got[3] == [0.0] * 8
+
+
+def test_typed_values_that_do_not_parse_are_null(spark):
+    rows = spark.createDataFrame([("12", " YES ", "a; ;b"), ("x", "0", ""), (None, "maybe", None)], "n string, b string, l string")
+    got = [tuple(r) for r in rows.select(typed.integer(F.col("n")), typed.boolean(F.col("b")), typed.listed(F.col("l"))).collect()]
+    assert got == [(12, True, ["a", "b"]), (None, False, []), (None, None, [])]
+
+
+def test_sections_continue_and_drop_what_comes_before(spark):
+    rows = spark.createDataFrame([("lost\nName: a\nb: c\nMain area: d",), (None,), ("",)], "t string")
+    got = rows.select(text.sections(F.col("t")).alias("s")).collect()
+    assert [tuple(x) for x in got[0]["s"]] == [("Name", "a b: c"), ("Main area", "d")] and got[1]["s"] is None and got[2]["s"] == []
+
+
+def test_expand_returns_a_seed_by_going_back_and_prefers_the_first_seed(spark):
+    edges = spark.createDataFrame([("a", "r", "m"), ("b", "r", "m"), ("m", "r", "z")], "src string, rel string, dst string")
+    got = {r["id"]: (r["hops"], r["seed"], r["path"]) for r in graph.expand(edges, spark.createDataFrame([("b", 1), ("a", 2)], "id string, seed_rank int")).collect()}
+    assert got["m"] == (1, "b", "b -r-> m") and got["z"] == (2, "b", "b -r-> m -r-> z") and got["b"][0] == 2
+
+
+def test_unknown_requirements_raise_and_the_fallback_comes_alone(spark):
+    rows = spark.createDataFrame([(1, 0, 0.2), (2, 3, 0.7)], "query int, n int, top double")
+    got = {(r["query"], r["rule"], r["priority"]) for r in scoring.opportunities(rows, [("A", {"n": 1}), ("B", {"n": 9})], "NEW").collect()}
+    assert got == {(1, "NEW", "LOW"), (2, "A", "HIGH")}
+    with pytest.raises(ValueError, match="ghost"):
+        scoring.opportunities(rows, [("A", {"ghost": 1})], "NEW")
+
+
+def test_stream_embeds_only_new_texts(spark, tmp_path):
+    place = str(tmp_path / "vectors")
+    embed = lambda rows: rows.withColumn("vector", F.array(F.length("text").cast("double")))
+    for batch in ([("1", "x"), ("2", None), ("1", "x")], [("1", "x"), ("2", "new")]):
+        spark.createDataFrame(batch, "id string, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("id string, text string").parquet(str(tmp_path / "in"))
+        follow(stream, embed, place, str(tmp_path / "marks")).awaitTermination(120)
+    got = sorted((r["id"], r["text"] or "") for r in spark.read.parquet(place).collect())
+    assert got == [("1", "x"), ("2", ""), ("2", "new")]
