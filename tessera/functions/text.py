@@ -24,7 +24,8 @@ def tokenize(text: Column, stopwords: tuple[str, ...] = ()) -> Column:
 
 def bigrams(tokens: Column) -> Column:
     """Neighbouring tokens joined by a space, formed after stopwords are gone."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.concat_ws(" ", F.element_at(tokens, i), F.element_at(tokens, i + 1)))
+    n = F.greatest(F.lit(0), F.size(tokens) - 1)  # zipped, for a lambda that indexed the tokens could compute them anew for each
+    pairs = F.zip_with(F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
     return F.when(F.size(tokens) >= 2, pairs).otherwise(F.array().cast("array<string>"))
 
 
