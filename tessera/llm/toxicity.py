@@ -235,34 +235,32 @@ def lexicon(sample: DataFrame) -> list[str]:
     return chosen
 
 
-def fit(rows: list[tuple[int, list[tuple[int, int, int, int]], str]], terms: list[str]) -> Model:
-    """Weights from labelled texts: (toxic, their matches, the text around them)."""
-    nt, nc = sum(t for t, _, _ in rows), sum(1 - t for t, _, _ in rows)
-    seen = np.zeros((len(terms), 3, 2))
-    for toxic, found, _ in rows:
-        for term, errors in {(m[2], m[3]) for m in found}:
-            seen[term, errors, toxic] += 1
+def weigh(seen: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Weight of each term with 0, 1 or 2 errors, from ``seen``: texts that meet it so, by term, errors and label."""
     # With no evidence a misspelling counts like a term; where clean texts have it, it weighs nothing.
-    weights = np.log((seen[:, :, 1] + 2) / (nt + 2)) - np.log((seen[:, :, 0] + 0.2) / (nc + 2))
-    weights = np.clip(weights, 0, 6) * np.array([1, 0.8, 0.6])
-    x = np.array([context(text, found, weights) for _, found, text in rows]) if rows else np.zeros((0, 5))
-    y = np.array([t for t, _, _ in rows], np.float64)
+    weights = np.log((seen[:, :, 1] + 2) / (toxic + 2)) - np.log((seen[:, :, 0] + 0.2) / (clean + 2))
+    return np.clip(weights, 0, 6) * np.array([1, 0.8, 0.6])
+
+
+def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression of labels on context features, drawn towards its starting point."""
     coef, bias = np.array([1.0, 0.0, 0.5, 0.1, 0.5]), -2.0
     start = coef.copy()
-    if nt and nc:
+    if 0 < y.sum() < len(y):
         for _ in range(3000):
             p = 1 / (1 + np.exp(-(x @ coef + bias)))
             coef -= 0.3 * (x.T @ (p - y) / len(y) + 1e-3 * (coef - start))
             bias -= 0.3 * (p - y).mean()
-    return Model(terms, weights, coef, float(bias))
+    return coef, float(bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Lexicon and weights from at most ``sample`` labelled rows (doc_id, toxic), those of smallest id hash.
 
-    An id with both labels counts as toxic. Texts that repeat count once. Without toxic texts every text gets the same low score.
+    An id with both labels counts as toxic; labels other than 0 and 1 count as none. Texts that repeat count once. Without
+    toxic texts every text gets the same low score. Texts stay on the executors: counts by term and five numbers a row reach the driver.
     """
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(known), "doc_id")
     rows = save(rows.dropDuplicates(["text"]))
@@ -280,8 +278,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.list_(pa.list_(pa.int64())), pa.string()), strict=True)], names=["toxic", "found", "text"])
 
     automaton.reset()
-    met = map_arrow(rows.select("toxic", "text"), run, "toxic int, found array<array<long>>, text string")
-    return fit([(r["toxic"], [tuple(m) for m in r["found"]], r["text"]) for r in met.toLocalIterator()], terms)
+    met = save(map_arrow(rows.select("toxic", "text"), run, "toxic int, found array<array<long>>, text string"))
+    hits = F.array_distinct(F.transform("found", lambda m: F.struct(m[2].alias("term"), m[3].alias("errors"))))
+    seen = np.zeros((len(terms), 3, 2))
+    for r in met.select("toxic", F.explode(hits).alias("hit")).groupBy("toxic", "hit.term", "hit.errors").agg(F.count("*").alias("n")).collect():
+        seen[r["term"], r["errors"], r["toxic"]] = r["n"]
+    counts = {r["toxic"]: r["n"] for r in met.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    weights = weigh(seen, counts.get(1, 0), counts.get(0, 0))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [context(text, [tuple(m) for m in found], weights).tolist() for found, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
+
+    points = sorted((r["toxic"], *r["x"]) for r in map_arrow(met, measure, "toxic int, x array<double>").collect())
+    table = np.array(points, np.float64).reshape(-1, 6)
+    return Model(terms, weights, *fit(table[:, 1:], table[:, 0]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
