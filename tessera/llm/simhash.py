@@ -158,78 +158,119 @@ def group(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
     return attach(fps, save(facts), "fp", [F.col("doc_id")]).drop("n")
 
 
-#: Near-duplicates by similarity: words of a wide fingerprint, bits by which one word of a found pair may differ.
-WIDE, RADIUS = 4, 6
+#: Near-duplicates by similarity: bands of a MinHash signature and hashes of a band. A pair of Jaccard similarity s
+#: agrees on a band, and so is a candidate, with probability 1 - (1 - s ** DEPTH) ** BANDS: 0.999997 at 0.8.
+BANDS, DEPTH = 32, 5
+_DRAWN = np.random.default_rng(SEED).integers(0, (1 << 64) - 1, (2, BANDS * DEPTH, 1), np.uint64, endpoint=True) | np.uint64(1)
 
 
-def _bits(similarity: float) -> int:
-    """Differing bits of a wide fingerprint that sets of equal size and this Jaccard similarity have on average."""
-    return round(64 * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted distinct XXH64 (seed 42) of a text's word shingles, cut as in ``fingerprint``; none without words."""
+    norm = b" ".join(text.lower().split())
+    if not norm:
+        return np.zeros(0, np.uint64)
+    gaps = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
+    if len(gaps) < shingle:
+        return np.array([xxhash.xxh64_intdigest(norm, SEED)], np.uint64)
+    starts = [0, *(gaps[: len(gaps) - shingle + 1] + 1).tolist()]
+    ends = [*gaps[shingle - 1 :].tolist(), len(norm)]
+    return np.unique(np.array([xxhash.xxh64_intdigest(norm[i:j], SEED) for i, j in zip(starts, ends, strict=True)], np.uint64))
+
 
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """One key a band of the MinHash signature of a set of hashes; none for the empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    low = np.full(BANDS * DEPTH, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), 512):
+        low = np.minimum(low, (hashes[at : at + 512] * _DRAWN[0] + _DRAWN[1]).min(1))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for values in low.reshape(BANDS, DEPTH).T:
+        keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + values)
+    return keys.view(np.int64)
 
-def _blocks(rows: int, bits: int) -> int:
-    """How many blocks cost least: more blocks make more keys a row (about 2 microseconds), but longer keys and fewer pairs (30 nanoseconds)."""
-    cost = lambda b: len(_keys(bits, b)) * (2 + 0.03 * rows / 2 ** (64 * (b - bits) / b) / 2)
-    return min(range(bits + 1, bits + 6), key=cost)
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64)))
 
-def _buckets(classes: DataFrame, bits: int, blocks: int) -> DataFrame:
-    """(key, word, block, node, w): every class under each of its keys, with the word the key is from."""
-    masks = _keys(bits, blocks)
-    parts = [F.struct(F.lit(k).cast("byte").alias("word"), F.lit(i).cast("short").alias("block"), F.col(c).bitwiseAND(F.lit(_signed(m))).alias("part"), F.col(c).alias("w")) for k, c in enumerate(_names()) for i, m in enumerate(masks)]
-    spread = classes.select("node", F.explode(F.array(*parts)).alias("k"))
-    return spread.select(F.xxhash64("k.word", "k.block", "k.part").alias("key"), "k.word", "k.block", "node", "k.w")
 
+def signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, h1, h2, s1, s2, size, bands): 128 bits that name the text's set of shingles, its size and its band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                sets = [shingles(t or b"", shingle) for t in b.column(3).to_pylist()]
+                names = [pa.array([xxhash.xxh64_intdigest(x.tobytes(), i) for x in sets], pa.uint64()).view(pa.int64()) for i in (1, 2)]
+                columns = [*b.columns[:3], *names, pa.array(map(len, sets), pa.int64()), _lists([bands(x) for x in sets])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h1", "h2", "s1", "s2", "size", "bands"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "h1", "h2", F.col("text").cast("binary").alias("text"))
+    return map_arrow(rows, run, "doc_id long, h1 long, h2 long, s1 long, s2 long, size long, bands array<long>")
+
+
+def _bags(docs: DataFrame, wanted: DataFrame, shingle: int, bound: int = 500_000) -> DataFrame:
+    """(node, bag): the sets of shingles of the rows (node, doc_id, h1, h2) of ``wanted``, which is broadcast up to ``bound`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingles(t or b"", shingle) for t in b.column(1).to_pylist()])], names=["node", "bag"])
 
-def _names() -> list[str]:
-    return ["fp", *(f"fp{w}" for w in range(1, WIDE))]
+    few = wanted.count() <= bound
+    w = (F.broadcast(wanted) if few else wanted).select("node", F.col("doc_id").alias("w0"), F.col("h1").alias("w1"), F.col("h2").alias("w2"))
+    rows = docs.join(w, F.col("doc_id").cast("long").eqNullSafe(F.col("w0")) & (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2")))
+    return map_arrow(rows.select("node", F.col("text").cast("binary").alias("text")), run, "node long, bag array<long>").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
-    """Those pairs (a, b) of classes whose whole fingerprints differ in at most ``most`` bits."""
-    side = lambda x: classes.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in _names()])
-    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    return both.filter(sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _names()), F.lit(0)) <= most).select("a", "b")
+def _alike(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) of nodes whose sets have at least this Jaccard similarity, which is exact."""
+    pairs = save(pairs.distinct())
+    met = pairs
+    for x, y in (("a", "b"), ("b", "a")):
+        counts = pairs.groupBy(F.col(x).alias("node")).agg(F.count("*").alias("n"))
+        facts = save(bags.join(counts, "node").select(F.col("node").alias(x), F.col("bag").alias(f"{x}_bag"), "n"))
+        met = attach(met, facts, x, [F.col(y)]).drop("n")
+    both = F.size(F.array_intersect("a_bag", "b_bag"))
+    return met.filter(both / (F.size("a_bag") + F.size("b_bag") - both) >= similarity).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, h1, h2, stays) of saved rows: of each group of near copies by word shingles, the row that stays.
 
-    ``docs`` has doc_id, text and two hashes of the row. Fingerprints have WIDE words of 64 bits. A pair is linked if they
-    differ in no more bits than texts of the wanted Jaccard similarity do on average, and one word differs in RADIUS bits
-    or fewer, which is certain up to WIDE * (RADIUS + 1) - 1 bits in all, and likely above. Equal fingerprints are one
-    class, numbered by its smallest doc_id. First, as long as that takes many away, every class meets the smallest one in
-    each bucket of two equal quarters of a word; a class linked to a smaller one has its group and meets no others, so a
-    family of near copies costs rows in proportion to its size. Then the classes left are joined on pigeonhole blocks that
-    fit RADIUS, each pair at the first block it agrees on, and verified. The smallest row of a group's smallest class stays.
+    ``docs`` has doc_id, text and two hashes of the row. Rows with equal sets of shingles are one class, numbered by its
+    smallest row. Classes that share a band of their MinHash signatures are candidates (see BANDS), and candidates whose
+    sets have the wanted Jaccard similarity are linked. First, as long as that takes many away, every class meets the
+    smallest one in each of its bands; a class linked to a smaller one has its group and meets no others, so a family of
+    near copies costs rows in proportion to its size. Then all classes left meet in pairs in each band. The smallest row
+    of a group's smallest class stays.
     """
-    most, names = _bits(similarity), _names()
-    fps = save(fingerprints(docs, shingle, WIDE, ("doc_id", "h1", "h2")))
+    fps = save(signatures(docs, shingle))
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h1", "h2")
-    classes = fps.groupBy(*names).agg(F.min(row).alias("least"), F.count("*").alias("n"))
+    classes = fps.groupBy("s1", "s2").agg(F.min(row).alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     classes = save(ordered(classes, [F.col("least")], "node"))
-    left, found, count = classes.select("node", *names), [], classes.count()
+    rows = classes.select(F.explode("bands").alias("key"), "node", "size")
+    shared = save(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    left = save(attach(rows, shared, "key", [F.col("node")]).filter("n > 1").select("key", "node", "size"))
+    wanted = left.select("node").distinct().join(classes.select("node", "least.doc_id", "least.h1", "least.h2"), "node")
+    bags = save(_bags(docs, save(wanted), shingle))
+    fits = F.least("a_size", "b_size") / F.greatest("a_size", "b_size") >= similarity  # or no overlap is enough
+    found, count = [], classes.count()
     for _ in range(5):
-        rows = save(_buckets(left, 2, 4).select("key", "node"))
-        first = save(rows.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1"))
-        star = attach(rows, first, "key", [F.col("node")]).filter(F.col("pivot") < F.col("node")).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        links = save(_verified(star, left, most))
+        first = save(left.groupBy("key").agg(F.min(F.struct("node", "size")).alias("pivot"), F.count("*").alias("n")).filter("n > 1"))
+        star = attach(left, first, "key", [F.col("node")]).filter(F.col("pivot.node") < F.col("node"))
+        star = star.select(F.col("pivot.node").alias("a"), F.col("node").alias("b"), F.col("pivot.size").alias("a_size"), F.col("size").alias("b_size"))
+        links = save(_alike(star.filter(fits).select("a", "b"), bags, similarity))
         found.append(links)
         gone = save(links.select(F.col("b").alias("node")).distinct())
         absorbed = gone.count()
         left = save(left.join(gone, "node", "left_anti"))
         if absorbed * 100 <= count:
             break
-    masks = _keys(RADIUS, blocks := _blocks(count, RADIUS))
-    buckets = _buckets(left, RADIUS, blocks)
-    a, b = (buckets.select("key", "word", "block", F.col("node").alias(x), F.col("w").alias(f"{x}_w")) for x in ("a", "b"))
-    differ = F.col("a_w").bitwiseXOR(F.col("b_w"))
-    agreed = F.lit(len(masks))
-    for i in reversed(range(len(masks))):
-        agreed = F.when(differ.bitwiseAND(F.lit(_signed(masks[i]))) == 0, F.lit(i)).otherwise(agreed)
-    close = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= RADIUS)
-    pairs = a.join(b, ["key", "word", "block"]).filter(F.when(close, agreed == F.col("block")).otherwise(F.lit(False)))
-    found.append(_verified(pairs.select("a", "b"), left, most))
+    a, b = (left.select("key", F.col("node").alias(x), F.col("size").alias(f"{x}_size")) for x in ("a", "b"))
+    pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & fits)
+    found.append(_alike(pairs.select("a", "b"), bags, similarity))
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)

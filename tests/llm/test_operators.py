@@ -265,6 +265,30 @@ def test_keep_one_leaves_one_of_each_group(spark):
     assert simhash.keep_one(empty(spark)).count() == 0
 
 
+def edited(rng, base, words, least, most):
+    """A copy of the words whose similarity to them lies in [least, most)."""
+    while True:
+        text = list(base)
+        while jaccard(" ".join(base), " ".join(text)) >= most:
+            text[rng.randrange(len(text))] = rng.choice(words)
+        if jaccard(" ".join(base), " ".join(text)) >= least:
+            return text
+
+
+def test_keep_one_decides_by_exact_similarity(spark):
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abdeilmnorstu") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    rows, want = [], set()
+    for i in range(240):  # pairs from 0.66 to 0.90, each of words of its own
+        base = [f"{rng.choice(words)}{i}" for _ in range(rng.randint(120, 400))]
+        low = 0.66 + i % 12 * 0.02
+        texts = [" ".join(x) for x in (base, edited(rng, base, words, low, low + 0.02))]
+        rows += [(2 * i + j, text, "en", "s", 1) for j, text in enumerate(texts)]
+        want |= {2 * i} if jaccard(*texts) >= 0.8 else {2 * i, 2 * i + 1}
+    got = simhash.keep_one(spark.createDataFrame(rows, DOCS))
+    assert {r["doc_id"] for r in got.collect()} == want
+
+
 def test_edit_distance_matches_the_table():
     rng = random.Random(4)
     for _ in range(200):
