@@ -242,8 +242,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     ``docs`` has doc_id, text and two hashes of the row. Rows with equal sets of shingles are one class, numbered by its
     smallest row. Classes that share a band of their MinHash signatures are candidates (see BANDS), and candidates whose
     sets have the wanted Jaccard similarity are linked. First, as long as that takes many away, every class meets the
-    smallest one in each of its bands; a class linked to a smaller one has its group and meets no others, so a family of
-    near copies costs rows in proportion to its size. Then all classes left meet in pairs in each band. The smallest row
+    smallest one in each of its bands; a class linked to a smaller one has its group and leaves these rounds, so a family
+    of near copies costs rows in proportion to its size. Then, in each band, all classes meet those of other groups, also
+    the ones that left, so the groups are the components of all linked pairs of candidates. The smallest row
     of a group's smallest class stays.
     """
     fps = save(signatures(docs, shingle))
@@ -252,12 +253,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     classes = save(ordered(classes, [F.col("least")], "node"))
     rows = classes.select(F.explode("bands").alias("key"), "node", "size")
     shared = save(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    left = save(attach(rows, shared, "key", [F.col("node")]).filter("n > 1").select("key", "node", "size"))
-    wanted = left.select("node").distinct().join(classes.select("node", "least.doc_id", "least.h1", "least.h2"), "node")
+    met = save(attach(rows, shared, "key", [F.col("node")]).filter("n > 1").select("key", "node", "size"))
+    wanted = met.select("node").distinct().join(classes.select("node", "least.doc_id", "least.h1", "least.h2"), "node")
     bags = save(_bags(docs, save(wanted), shingle))
     fits = F.least("a_size", "b_size") / F.greatest("a_size", "b_size") >= similarity  # or no overlap is enough
-    found, count = [], classes.count()
-    for _ in range(5):
+    left, found, count = met, [], classes.count()
+    for _ in range(5):  # how many rounds run decides what the last step costs, not what it links
         first = save(left.groupBy("key").agg(F.min(F.struct("node", "size")).alias("pivot"), F.count("*").alias("n")).filter("n > 1"))
         star = attach(left, first, "key", [F.col("node")]).filter(F.col("pivot.node") < F.col("node"))
         star = star.select(F.col("pivot.node").alias("a"), F.col("node").alias("b"), F.col("pivot.size").alias("a_size"), F.col("size").alias("b_size"))
@@ -268,12 +269,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
         left = save(left.join(gone, "node", "left_anti"))
         if absorbed * 100 <= count:
             break
-    a, b = (left.select("key", F.col("node").alias(x), F.col("size").alias(f"{x}_size")) for x in ("a", "b"))
-    pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & fits)
-    found.append(_alike(pairs.select("a", "b"), bags, similarity))
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
+    roots = save(components(links))
+    rooted = met.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    mixed = save(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high"))
+    rooted = save(attach(rooted, mixed, "key", [F.col("node")]).filter("low < high").select("key", "node", "size", "root"))
+    sides = save(rooted.select("key", "root").distinct())  # groups meet first, so that those of one group never do
+    pairs = sides.withColumnRenamed("root", "a_root").join(sides.withColumnRenamed("root", "b_root"), "key").filter("a_root < b_root")
+    for x in ("a", "b"):
+        pairs = pairs.join(rooted.select("key", F.col("root").alias(f"{x}_root"), F.col("node").alias(x), F.col("size").alias(f"{x}_size")), ["key", f"{x}_root"])
+    links = links.unionByName(_alike(pairs.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), bags, similarity))
     below = save(components(save(links))).filter("node <> root").select("node").distinct()
     tops = classes.join(below, "node", "left_anti").select("least.doc_id", "least.h1", "least.h2")
     same = [fps["doc_id"].eqNullSafe(tops["doc_id"]), fps["h1"] == tops["h1"], fps["h2"] == tops["h2"]]

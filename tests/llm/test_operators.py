@@ -269,6 +269,8 @@ def edited(rng, base, words, least, most):
     """A copy of the words whose similarity to them lies in [least, most)."""
     while True:
         text = list(base)
+        for _ in range(int(len(text) * (1 - least) / 10)):
+            text[rng.randrange(len(text))] = rng.choice(words)
         while jaccard(" ".join(base), " ".join(text)) >= most:
             text[rng.randrange(len(text))] = rng.choice(words)
         if jaccard(" ".join(base), " ".join(text)) >= least:
@@ -289,6 +291,20 @@ def test_keep_one_decides_by_exact_similarity(spark):
     assert {r["doc_id"] for r in got.collect()} == want
 
 
+def test_keep_one_joins_copies_through_their_original(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(6):  # the copies come before their original but for one, which is like that alone
+        base = [f"w{i}x{rng.randrange(10**9)}" for _ in range(300)]
+        spots = [range(at, 300, 60) for at in range(5, 55, 3)]
+        texts = [" ".join(f"{w}y{j}" if at in edits else w for at, w in enumerate(base)) for j, edits in enumerate(spots)]
+        texts.insert(-1, " ".join(base))
+        assert all(jaccard(t, texts[-2]) >= 0.8 for t in texts) and all(jaccard(t, texts[-1]) < 0.8 for t in texts[:-2])
+        rows += [(100 * i + j, text, "en", "s", 1) for j, text in enumerate(texts)]
+    got = simhash.keep_one(spark.createDataFrame(rows, DOCS))
+    assert {r["doc_id"] for r in got.collect()} == {100 * i for i in range(6)}
+
+
 def test_edit_distance_matches_the_table():
     rng = random.Random(4)
     for _ in range(200):
