@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..storage import save, scratch  # noqa: F401
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key is hot if it holds more than one in so many rows; there are fewer hot keys than this.
 HOT_SHARE = 1000
-#: Rows that Python gets at a time.
-BATCH = 500
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tessera-")  # only where no folder is named, as in local tests
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame) -> DataFrame:
-    """Write the rows as a table in the shared folder and read them back: later jobs neither recompute nor lose them."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows and bytes that Python gets at a time, at most (a longer text comes alone).
+BATCH, BATCH_BYTES = 500, 1 << 22
 
 
 def partitions(spark: SparkSession) -> int:
@@ -73,12 +56,32 @@ def ordered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow with at most BATCH rows a batch: texts are long, and a task holds a batch in the JVM and in Python."""
+    """mapInArrow with bounded batches: texts are long, and a task holds a batch in the JVM and in Python.
+
+    Spark reads the bounds when the plan runs, so they stay set for the session; smaller ones are kept.
+    """
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    for name, most in (("maxRecordsPerBatch", BATCH), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{name}", None)
+        now = int(str(now).rstrip("b")) if now and str(now).rstrip("b").lstrip("-").isdigit() else -1
+        if not 0 < now <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return df.mapInArrow(function, schema)
 
 
+def unused(names: list[str], wanted: str) -> str:
+    """``wanted`` with as many underscores in front as make it a name not among ``names``, whatever their case."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def row_hashes(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes of all columns: what stands for a row where a decision on it is joined back."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return F.xxhash64(F.lit(1), *columns), F.xxhash64(F.lit(2), *columns)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

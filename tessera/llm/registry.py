@@ -5,7 +5,7 @@ from . import ctph, interleave, langid, mixing, packing, quality, simhash, toxic
 QUERIES = {
     "op1_warc_revisits": warc.op1_warc_revisits,
     "op2_language": langid.op2_language,
-    "language_of_pages": langid.pages_language,
+    "language_of_documents": langid.documents_language,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_pack": packing.op4_pack,
     "op5_toxicity": toxicity.op5_toxicity,
