@@ -29,15 +29,19 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, spread: list[Column], co
     """
     total = facts.agg(F.sum(count)).first()[0] or 0
     names = [c for c in facts.columns if c != key]
-    hot = facts.filter(F.col(count) * HOT_SHARE > F.lit(total)).filter(F.col(key).isNotNull())
-    hot = hot.select(F.col(key).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in names])
-    rows = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
-    aside = F.col("__hot").isNotNull() | F.col(key).isNull()
-    rows = rows.withColumn("__salt", F.when(aside, F.pmod(F.xxhash64(*spread), F.lit(1 << 20)) + 1).otherwise(F.lit(0).cast("long")))
-    cold = facts.filter(F.col(key).isNotNull()).select(F.col(key).alias("__cold"), F.lit(0).cast("long").alias("__none"), *[F.col(c).alias(f"__cold_{c}") for c in names])
-    joined = rows.join(cold, (F.col(key) == F.col("__cold")) & (F.col("__salt") == F.col("__none")), "left")
-    keep = [c for c in rows.columns if not c.startswith("__hot") and c != "__salt"]
-    return joined.select(*keep, *[F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in names])
+    mine = "attach"
+    while any(c.lower().startswith(mine) for c in rows.columns):
+        mine = f"_{mine}"  # no column of rows starts like the names used here
+    at = F.col(f"`{key}`")
+    hot = facts.filter(F.col(count) * HOT_SHARE > F.lit(total)).filter(at.isNotNull())
+    hot = hot.select(at.alias(f"{mine}_hot"), *[F.col(c).alias(f"{mine}_h{i}") for i, c in enumerate(names)])
+    keep = [F.col(f"`{c}`") for c in rows.columns]
+    rows = rows.join(F.broadcast(hot), at == F.col(f"{mine}_hot"), "left")
+    aside = F.col(f"{mine}_hot").isNotNull() | at.isNull()
+    rows = rows.withColumn(f"{mine}_salt", F.when(aside, F.pmod(F.xxhash64(*spread), F.lit(1 << 20)) + 1).otherwise(F.lit(0).cast("long")))
+    cold = facts.filter(at.isNotNull()).select(at.alias(f"{mine}_cold"), F.lit(0).cast("long").alias(f"{mine}_none"), *[F.col(c).alias(f"{mine}_c{i}") for i, c in enumerate(names)])
+    joined = rows.join(cold, (at == F.col(f"{mine}_cold")) & (F.col(f"{mine}_salt") == F.col(f"{mine}_none")), "left")
+    return joined.select(*keep, *[F.coalesce(f"{mine}_h{i}", f"{mine}_c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def ordered(df: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, attach, ordered, save
+from .common import WORD, attach, ordered, save, unused
 
 #: Weights of the sources in code point order, repeating; targets stop at CAP times a source's size.
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, 20
@@ -62,19 +62,24 @@ def mix(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
     """The mixed corpus: every column of ``docs``, each row as often as the plan takes it.
 
     The rate depends on the source alone, so rows meet one row per source; texts are shuffled once. Null texts count
-    no words. A column of docs may have any name, ``size`` and ``target`` included.
+    no words; null sources are one source, the last. Rows that repeat an id, and those of the null id, share its draw. A column of
+    docs may have any name, ``size`` and ``target`` included. Empty table: no rows.
     """
-    sizes = save(docs.select("source", words(F.col("text")).alias("size")))
-    facts = targets(sizes, **how)
-    facts = save(facts.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("__key"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__rate"), F.col("n").alias("__n")))
-    rows = docs.withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-    rows = attach(rows, facts, "__key", [F.col("doc_id")], count="__n")
-    copies = F.floor("__rate") + (draw(seed, F.col("doc_id")) < F.col("__rate") - F.floor("__rate")).cast("long")
-    rows = rows.withColumn("__copies", copies.cast("int")).filter("__copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key, rate, times, copy = (unused(docs.columns, c) for c in ("mix_key", "mix_rate", "mix_copies", "mix_copy"))
+    named = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    facts = targets(save(docs.select("source", words(F.col("text")).alias("size"))), **how)
+    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    count = unused(docs.columns, "mix_n")
+    facts = save(facts.select(named.alias(key), share.alias(rate), F.col("n").alias(count)))
+    rows = attach(docs.withColumn(key, named), facts, key, [F.col("doc_id")], count=count)
+    copies = F.floor(rate) + (draw(seed, F.col("doc_id")) < F.col(rate) - F.floor(rate)).cast("long")
+    rows = rows.withColumn(times, copies.cast("int")).filter(F.col(times) > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*columns)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document; nulls, repeats and empty tables as in ``mix``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     taken = plan(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "doc_id")
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

@@ -118,7 +118,8 @@ def place(pieces: DataFrame, limits: Limits = Limits(), rule: str = "norm", weig
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots, _ = plan(histogram, limits, rule, weights)
     before = counts.select("part", "length", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    ranked = pieces.join(before, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "part")
+    # ``before`` grows with the parts, so it meets the pieces, which are small rows, in a shuffle and is not broadcast.
+    ranked = pieces.join(before.hint("merge"), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "part")
     key = (slots[:, 0].astype(np.int64) << 44) + slots[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,27 +136,40 @@ def place(pieces: DataFrame, limits: Limits = Limits(), rule: str = "norm", weig
 
 
 _ENCODERS: dict = {}
+#: Fixed value: the pattern that a ByteLevel pre-tokenizer with use_regex cuts texts by.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _fast(spec: dict) -> bool:
+    """Whether the file asks for nothing but byte-level merges after PATTERN."""
+    cut, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    odd = [spec.get(k) for k in ("normalizer", "truncation", "padding")] + [model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")]
+    return plain and model.get("type") == "BPE" and not any(odd) and not any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized"))
 
 
 def encoder(path: str):
-    """A byte-level BPE encoder of the vocabulary in a tokenizers JSON file: text to ids, special tokens' strings included.
+    """An encoder of the vocabulary in a tokenizers JSON file: text to ids, special tokens' strings included.
 
     Ids are those of the tokenizers library for that file (the tests hold them together); tiktoken merges the same
-    ranks several times faster. Texts that its pattern matcher gives up on, such as those with a run of a million blanks, go to the library itself.
+    ranks several times faster. Files that ask for more than byte-level merges after PATTERN, and texts that tiktoken's
+    pattern matcher gives up on, such as those with a run of a million blanks, go to the library itself.
     """
     if path not in _ENCODERS:
         import tiktoken
         from tokenizers import Tokenizer
 
         spec = json.loads(open(path, encoding="utf-8").read())
+        library = Tokenizer.from_file(path)
+        if not _fast(spec):
+            _ENCODERS[path] = lambda text: library.encode(text, add_special_tokens=False).ids
+            return _ENCODERS[path]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-        library = Tokenizer.from_file(path)
+        own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
         def encode(text: str) -> list[int]:
             try:
@@ -195,11 +209,36 @@ def tokenize(docs: DataFrame, tokenizer: str, limit: int = 2048, with_ids: bool
 
 
 def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), rule: str = "norm", weights: Weights = Weights(), with_ids: bool = False) -> DataFrame:
+    """Every piece of every document (see ``tokenize``) with its sequence and place there (see ``place``).
+
+    Null and empty texts are documents of one token, END. Very long texts are cut as a whole, never at a prefix. Repeated rows
+    are documents each; ties between bins go to the one opened first, and which of the documents of one length gets which of its places is
+    open. An empty table gives no rows. Columns other than doc_id and text may have any name.
+    """
     return place(tokenize(docs, tokenizer, limits.tokens, with_ids), limits, rule, weights)
 
 
+def _packed(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    import public_tokenizers
+
+    packed = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), **how)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens, the only limit that binds here; see ``pack``."""
+    return _packed(spark, sf_dir)
+
+
+#: Limits that bind: sequences of at most four documents whose attention costs three quarters of one long document's.
+TIGHT = Limits(tokens=2048, documents=4, attention=2048 * 2048 * 3 // 4)
+
+
+def packed_in_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under TIGHT, bins chosen by weighted dot product; pieces are as long as the attention cost lets one be."""
     import public_tokenizers
 
-    packed = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    longest = int(TIGHT.attention**0.5)
+    pieces = tokenize(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), longest)
+    packed = place(pieces, TIGHT, "dot", Weights(1.0, 0.5, 0.5))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

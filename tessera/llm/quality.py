@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, unused
 
 #: Trusted positives and unlabelled texts that the fit sees at most, those of smallest id hash.
 SAMPLE = 12_000
+#: Lengths of the descent to choose from.
+STEPS = (1500, 3000, 6000)
 THRESHOLD = 0.3
 
 #: Byte classes: other, lower, upper, digit, blank, line end, sentence mark, bracket or quote, symbol, beyond ASCII.
@@ -25,7 +26,6 @@ for _i, _set in enumerate([b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRST
     _CLASS[list(_set)] = _i
 _CLASS[128:] = 9
 _CLASSES = 10
-_WORDS = re.compile(r"\S+")
 WIDTH = _CLASSES * _CLASSES + _CLASSES + 9
 
 
@@ -113,8 +113,19 @@ def class_prior(p: np.ndarray, u: np.ndarray) -> float:
     return float(min(0.98, max(0.02, best)))
 
 
+def _risk(p: np.ndarray, u: np.ndarray, w: np.ndarray, b: float, prior: float) -> float:
+    """The non-negative risk with the loss of the sign, which tells models apart that all separate well."""
+    wrong = lambda z: 1 / (1 + np.exp(np.clip(z, -30, 30)))
+    zp, zu = p @ w + b, u @ w + b
+    return float(prior * wrong(zp).mean() + max(0.0, wrong(-zu).mean() - prior * wrong(-zp).mean()))
+
+
 def fit(positives: np.ndarray, unlabelled: np.ndarray, seed: int = 7) -> Model:
-    """Fit on feature rows. Without positives or without unlabelled texts every score is 0.5."""
+    """Fit on feature rows. Without positives or without unlabelled texts every score is 0.5.
+
+    The prior is estimated, and the number of steps chosen among STEPS, on a half of the rows that the model compared there
+    has not seen; then the model is fitted on all rows.
+    """
     if not len(positives) or not len(unlabelled):
         return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), 0.0, 0.5)
     both = np.concatenate([positives, unlabelled]).astype(np.float64)
@@ -123,9 +134,12 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     p, u = p[rng.permutation(len(p))], u[rng.permutation(len(u))]
     hp, hu = max(1, len(p) // 2), max(1, len(u) // 2)
-    w, b = _descend(p[:hp], u[:hu], None, seed)
-    prior = class_prior(p[hp:] @ w + b, u[hu:] @ w + b) if len(p) > hp and len(u) > hu else 0.5
-    w, b = _descend(p, u, prior, seed)
+    prior, steps = 0.5, STEPS[0]
+    if len(p) > hp and len(u) > hu:
+        w, b = _descend(p[:hp], u[:hu], None, seed)
+        prior = class_prior(p[hp:] @ w + b, u[hu:] @ w + b)
+        steps = min(STEPS, key=lambda n: _risk(p[hp:], u[hu:], *_descend(p[:hp], u[:hu], prior, seed, n), prior))
+    w, b = _descend(p, u, prior, seed, steps)
     return Model(mean, scale, w, b, prior)
 
 
@@ -139,60 +153,57 @@ def _matrix(rows: DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(sorted(found)), np.float32).reshape(-1, WIDTH) if found else np.zeros((0, WIDTH), np.float32)
 
 
-def train(docs: DataFrame, positives: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` trusted positives (ids) and as many documents that are not ``labelled`` (ids).
+def train(docs: DataFrame, positives: DataFrame, sample: int = SAMPLE) -> Model:
+    """Fit on at most ``sample`` trusted positives (ids) and as many unlabelled documents.
 
-    Both are taken by the smallest hash of their id, so the same tables give the same model. Labels other than the
-    trusted positives are not used. Only the sample's features reach the driver, ``sample`` * 2 * WIDTH floats.
+    Unlabelled are the documents of all other ids, whatever labels those have, for labels other than the trusted
+    positives are not used; where there are none, the positives themselves. Both are taken by the smallest hash of their id, so the same
+    tables give the same model. Only the sample's features reach the driver, ``sample`` * 2 * WIDTH floats.
     """
     ids = docs.select(F.col("doc_id")).filter("doc_id is not null")
     first = lambda rows: rows.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    p, u = first(positives.join(ids, "doc_id", "left_semi")), first(ids.join(labelled, "doc_id", "left_anti"))
+    p, u = first(positives.join(ids, "doc_id", "left_semi")), first(ids.join(positives, "doc_id", "left_anti"))
     pick = lambda chosen: _matrix(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return fit(pick(p), pick(u))
+    x, y = pick(p), pick(u)
+    return fit(x, y if len(y) else x)
 
 
 def score(docs: DataFrame, model: Model, keep_from: float | None = None) -> DataFrame:
-    """All columns of ``docs`` with the score of their whole text; with ``keep_from``, only rows that reach it, without the score.
+    """All columns of ``docs`` with ``quality_score``, that of their whole text; with ``keep_from``, only rows that reach it, without the score.
 
-    Null texts are empty ones. One pass over the rows, no shuffle.
+    Null texts are empty ones, which have a score too. Repeated rows get equal scores. An empty table gives no rows. If docs has a
+    column ``quality_score``, the score's name gets underscores in front. One pass over the rows, no shuffle.
     """
     names = docs.columns
+    name = unused(names, "quality_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                x = np.array([features(t or "") for t in part.column(names.index("text")).to_pylist()])
-                s = model.scores(x)
-                if keep_from is None:
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], names=[*names, "__score"])
-                else:
-                    yield part.filter(pa.array(s >= keep_from))
+            if b.num_rows:
+                s = model.scores(np.array([features(t.as_py() or "") for t in b.column(names.index("text"))]))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*names, name]) if keep_from is None else b.filter(pa.array(s >= keep_from))
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return map_arrow(docs, run, ", ".join([*fields, *(["__score double"] if keep_from is None else [])]))
+    return map_arrow(docs, run, ", ".join([*fields, *([f"`{name}` double"] if keep_from is None else [])]))
 
 
 def fold(modulus: int):
     return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % modulus
 
 
-def trusted(labels: DataFrame, name: str, where) -> tuple[DataFrame, DataFrame]:
-    """Ids that only ever carry label 1 among the rows ``where`` holds, and all ids with a row in ``labels``.
-
-    Null labels and ids count as no label.
-    """
+def trusted(labels: DataFrame, name: str, where) -> DataFrame:
+    """Ids that only ever carry label 1 among the rows ``where`` holds. Null labels and ids count as no label."""
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col(name).isNotNull())
-    good = rows.filter(where).groupBy("doc_id").agg(F.min(name).alias("least")).filter("least = 1").select("doc_id")
-    return good, rows.select("doc_id").distinct()
+    return rows.filter(where).groupBy("doc_id").agg(F.min(name).alias("least")).filter("least = 1").select("doc_id")
 
 
 def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; nulls, empty texts, repeats and empty tables as in ``score``.
+
+    Neither labels nor texts of the held-out fold are used in the fit.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    good, labelled = trusted(spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", fold(5) != 0)
-    held = docs.filter(fold(5) != 0)  # texts of the held-out fold are not used either
-    model = train(held, good, labelled)
-    scored = score(docs, model)
+    good = trusted(spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", fold(5) != 0)
+    scored = score(docs, train(docs.filter(fold(5) != 0), good)).withColumnRenamed("quality_score", "score")
     held_out = F.coalesce(fold(5) == 0, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

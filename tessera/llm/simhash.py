@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, map_arrow, ordered, save
+from .common import attach, map_arrow, ordered, row_hashes, save, unused
 
 SEED = 42
 #: Buckets of more fingerprints are linked by bit flips instead of in pairs.
@@ -295,17 +295,19 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bound:
     broadcast if a count shows that there are at most ``bound``, else joined by a shuffle; texts are not shuffled otherwise.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    h1, h2 = F.xxhash64(F.lit(1), *columns), F.xxhash64(F.lit(2), *columns)
+    h1, h2 = row_hashes(docs)
     decided = near_duplicates(docs.select("doc_id", "text", h1.alias("h1"), h2.alias("h2")), shingle, similarity)
-    gone = save(decided.filter("not stays").select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).distinct())
+    a, b = unused(docs.columns, "h1"), unused(docs.columns, "h2")
+    gone = save(decided.filter("not stays").select("h1", "h2").distinct())
     if gone.count() <= bound:
         gone = F.broadcast(gone)
-    rows = docs.withColumns({"__h1": h1, "__h2": h2}).join(gone, ["__h1", "__h2"], "left_anti")
+    rows = docs.withColumns({a: h1, b: h2}).join(gone.toDF(a, b), [a, b], "left_anti")
     if decided.filter("stays").groupBy("h1", "h2").count().filter("count > 1").limit(1).count():
-        rows = rows.dropDuplicates(["__h1", "__h2"])
+        rows = rows.dropDuplicates([a, b])
     return rows.select(*columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; nulls, empty texts, repeats and empty tables as in ``group``."""
     found = group(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
