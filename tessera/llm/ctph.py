@@ -13,10 +13,12 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, partitions, text_or_empty
+from .common import HOT_SHARE, map_arrow, partitions, text_or_empty
 
 #: Bytes the rolling hash sees, smallest block size, most and least wanted characters of a signature.
 WINDOW, LEAST_BLOCK, LONGEST, SHORTEST = 7, 3, 64, 32
+#: Bytes of the input, as stored, that a range of documents should hold; a task gets about four ranges.
+BUCKET_BYTES = 1 << 21
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 
@@ -118,25 +120,41 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_or_empty(), "UTF-8").alias("text")), run, "doc_id long, fingerprint string")
 
 
+def _buckets(docs: DataFrame) -> int:
+    """As many ranges as keep one near BUCKET_BYTES by the size that Spark knows of the input, and four to a task at least."""
+    stats = docs.select("doc_id", "text")._jdf.queryExecution().optimizedPlan().stats()
+    known = int(str(stats.sizeInBytes()))
+    return max(4 * partitions(docs.sparkSession), min(-(-known // BUCKET_BYTES), docs.count() // 64))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (bucket, own, doc_id, tie, text), partitioned by bucket and sorted so that a row's next document follows it.
 
     The order is descending doc_id, then descending hash of the text, null ids last; after the last comes the first.
-    Buckets are ranges of that order, four to a task, with null ids ranged by their hash. The first row of each bucket
-    is sent to the bucket before as well (own false), so a text is shuffled once and nothing is sorted globally.
+    Buckets are ranges of that order, as many as the input's bytes ask for; null ids, and each id with more than one in HOT_SHARE
+    rows, are ranged further by their hash. The first row of each bucket is sent to the bucket before as well (own false), so
+    a text is shuffled once and nothing is sorted globally.
     """
     spark = docs.sparkSession
-    n = partitions(spark) * 4
+    n = _buckets(docs)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    total = ids.count()
+    often = ids.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).filter(F.col("rows") * HOT_SHARE > total)
+    hot = sorted(r["doc_id"] for r in often.filter("rows > 1000").collect())  # fewer than HOT_SHARE
+    cuts = ids.select(F.col("doc_id").cast("double").alias("at")).approxQuantile("at", [i / n for i in range(1, n)], 0.2 / n)
+    splits = sorted({*cuts, *(x for h in hot for x in (float(h), float(np.nextafter(float(h), np.inf))))})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("at", F.col("doc_id").cast("double"))
-    splits = sorted(set(docs.select(F.col("doc_id").cast("double").alias("at")).approxQuantile("at", [i / n for i in range(1, n)], 0.2 / n)))
     if splits:
         bounds = [float("-inf"), *splits, float("inf")]
         rows = Bucketizer(splits=bounds, inputCol="at", outputCol="range", handleInvalid="keep").transform(rows)
     else:
         rows = rows.withColumn("range", F.lit(0.0))
-    by_hash = F.shiftright("tie", 58) - 1000
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), by_hash).otherwise(F.col("range").cast("long"))).drop("at", "range")
+    part = F.shiftright("tie", 54) + 512  # 1,024 ranges of the hash
+    near = [float(h) for h in hot]
+    shared = F.col("at").isin(near) if near else F.lit(False)
+    bucket = F.when(F.col("doc_id").isNull(), part - 1024).otherwise(F.col("range").cast("long") * 1024 + F.when(shared, part).otherwise(F.lit(0)))
+    rows = rows.withColumn("bucket", bucket).drop("at", "range")
     firsts = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "tie")).alias("first")).orderBy(F.desc("bucket")).collect()  # a row for each bucket
     pairs = [(r["bucket"], r["first"]["doc_id"], r["first"]["tie"], firsts[i - 1]["bucket"]) for i, r in enumerate(firsts)]
     heads = spark.createDataFrame(pairs, "head long, head_id long, head_tie long, before long")
@@ -145,13 +163,15 @@ def with_next(docs: DataFrame) -> DataFrame:
     to = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("bucket"), F.lit(False).alias("own"))))
     rows = rows.select("doc_id", "tie", "text", F.explode(to).alias("to")).select("to.bucket", "to.own", "doc_id", "tie", "text")
     order = [F.desc("bucket"), F.desc("own"), F.desc_nulls_last("doc_id"), F.desc("tie")]
-    return rows.repartition(partitions(spark), "bucket").sortWithinPartitions(*order)
+    return rows.repartition(max(partitions(spark), n // 4), "bucket").sortWithinPartitions(*order)
 
 
 def edits(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its text with the last third replaced by the next document's start, and likenesses.
 
-    Null texts are empty. Rows that repeat an id follow one another. A table of one document has itself as its next.
+    Null texts are empty, and empty ones have empty signatures; very long texts are hashed whole. Rows that repeat an id follow
+    one another, in the order of a hash of their texts; null ids come last. A table of one document has itself as its next. An empty table
+    gives no rows. Other columns of docs, whatever their names, are not read.
     """
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
@@ -180,4 +200,5 @@ def edits(docs: DataFrame) -> DataFrame:
 
 
 def op8_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts; nulls, repeats and empty tables as in ``edits``."""
     return edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
