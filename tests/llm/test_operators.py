@@ -75,6 +75,33 @@ def test_warc_round_trip_keeps_bytes_and_resolves_revisits(spark, tmp_path):
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_shuffles_no_bodies(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(i, "u", bytes([65 + i % 3]) * 2000) for i in range(40)], "id long, url string, payload binary")
+    seen = []
+    monkeypatch.setattr(warc, "_emit", lambda records, path, date: seen.append(records))
+    warc.write(rows, str(tmp_path / "x"))
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "payload" in plan and not any("Exchange" in line and "Broadcast" not in line for line in plan.splitlines())
+
+
+def test_warc_merge_resolves_revisits_of_archives(spark, tmp_path):
+    a, b, c = (bytes([65 + i]) * 1500 for i in range(3))
+    schema = "id long, url string, payload binary"
+    warc.write(spark.createDataFrame([(1, "u1", a), (2, "u2", a), (3, "u3", b), (8, None, b"tiny")], schema), str(tmp_path / "x"))
+    warc.write(spark.createDataFrame([(4, "u4", a), (5, "u5", c), (6, "u6", c), (9, "u9", b"tiny")], schema), str(tmp_path / "y"))
+    paths = [str(tmp_path / "x"), str(tmp_path / "y")]
+    found = {r["record_id"][12:-1]: r for r in warc.originals(warc.read(spark, paths, with_payload=False)).collect()}
+    assert found["1"]["original_id"] == "<urn:record:4>" and found["1"]["original_uri"] == "u4" and found["4"]["original_id"] is None
+    warc.merge(spark, paths, str(tmp_path / "z"))
+    got = {r["record_id"][12:-1]: r for r in warc.read(spark, str(tmp_path / "z")).collect()}
+    assert {k: r["record_type"] for k, r in got.items()} == {"1": "revisit", "2": "revisit", "3": "response", "4": "response", "5": "revisit", "6": "response", "8": "response", "9": "response"}
+    assert {got[k]["refers_to_id"] for k in "12"} == {"<urn:record:4>"} and got["5"]["refers_to_id"] == "<urn:record:6>"
+    assert all(r["digest_ok"] for r in got.values()) and bytes(got["4"]["payload"]) == a and bytes(got["9"]["payload"]) == b"tiny"
+    # an archive whose response is elsewhere keeps its reference
+    alone = warc.read(spark, str(tmp_path / "z")).filter("record_type = 'revisit'")
+    assert warc.originals(alone).filter("original_id is not null").isEmpty()
+
+
 def test_interleaving_is_even_and_proportional(spark, docs):
     got = interleave.interleave(docs, "source", 8, 5, ["doc_id", "text"]).collect()
     assert len(got) == docs.count()
@@ -84,6 +111,18 @@ def test_interleaving_is_even_and_proportional(spark, docs):
         counts = [sum(r["source"] == source and r["shard"] == s for r in got) for s in range(8)]
         assert max(counts) - min(counts) <= 2
     assert interleave.interleave(empty(spark), "source", 8, 5, ["doc_id"]).count() == 0
+    rows = {(r["doc_id"], r["text"], r["source"]) for r in docs.collect() if r["doc_id"] != 1001}
+    by_source, n = {}, docs.count()
+    for r in docs.collect():
+        code = hashlib.md5(":".join(["5", *("null" if x is None else str(x) for x in (r["doc_id"], r["text"]))]).encode()).hexdigest()
+        by_source.setdefault("" if r["source"] is None else "=" + r["source"], []).append((code, r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "", r["source"]))
+    line = sorted(((i + 0.5) / len(x), row[0], key, row) for key, x in by_source.items() for i, row in enumerate(sorted(x)))
+    want = {}
+    for place, (*_, row) in enumerate(line):
+        shard = place * 8 // n
+        want[(row[2] if row[1] else None, row[3], row[4])] = (shard, place - -(-shard * n // 8))
+    got = {(r["doc_id"], r["text"] or "", r["source"]): (r["shard"], r["slot"]) for r in got}
+    assert all(got[k] == want[k] for k in want if k[0] != 1001) and len(rows) > 100
 
 
 def test_mixture_meets_targets(spark, docs):
@@ -359,10 +398,38 @@ def test_top_k_matches_brute_force(spark):
             best = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in fine if i != q)[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+    big = [(50, [2.0**30, 1.0, -(2.0**30)]), (1, [2.0**20, 3.0, 5.0]), (2, [2.0**20, 2.0, 5.0]), (3, [2.0**20, 2.0, 5.0 - 2**-8])]
+    base = save(voronoi.quantized(spark.createDataFrame(big, "vec_id long, embedding array<double>")))
+    exact = sorted((-sum(int(x * 256) * int(y * 256) for x, y in zip(big[0][1], v, strict=True)), i) for i, v in big[1:])
+    assert [(-r["score"], r["vec_id"]) for r in voronoi.top_k(base, F.col("vec_id") == 50).orderBy("rank").collect()] == exact
+    with pytest.raises(Exception, match="too large"):
+        voronoi.quantized(spark.createDataFrame([(1, [1e300])], "vec_id long, embedding array<double>")).collect()
     none = save(voronoi.quantized(spark.createDataFrame([], "vec_id long, embedding array<float>")))
     assert voronoi.top_k(none, F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("together", [4, 1000])
+def test_top_k_prunes_rows_that_no_group_needs(spark, monkeypatch, together):
+    """Far clusters, and ids that repeat: bounds bite, and no neighbour may be lost."""
+    monkeypatch.setattr(voronoi, "TOGETHER", together)
+    monkeypatch.setattr(voronoi, "BLOCK", 100)
+    rng = np.random.default_rng(4)
+    centres = np.eye(6) * 40
+    vectors = [(int(i % 150), (centres[i % 6] + rng.normal(size=6) / 4).tolist()) for i in range(600)]
+    sent = []
+    plain = voronoi.map_arrow
+    monkeypatch.setattr(voronoi, "map_arrow", lambda df, f, schema: sent.append(save(plain(df, f, schema))) or sent[-1])
+    got = voronoi.top_k(save(voronoi.quantized(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))), F.col("vec_id") % 50 == 0).collect()
+    assert sent[-1].agg(F.sum(F.size("needed_by"))).first()[0] < 600 * 6
+    fine = [(i, [int(np.floor(x * 256)) for x in v]) for i, v in vectors]
+    want = []
+    for q, a in fine:
+        if q % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in fine if i != q)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+
+
 def levenshtein(a, b):
     return ctph.distance(a, b)
 
@@ -424,12 +491,18 @@ def test_prior_and_risk_find_the_negatives():
 
 def test_quality_scores_whole_table(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    good, labelled = quality.trusted(none, "quality", F.lit(True))
-    scored = quality.score(docs, quality.train(docs, good, labelled))
-    assert scored.count() == docs.count() and {r["__score"] for r in scored.collect()} == {0.5}
-    assert quality.score(docs, quality.train(docs, good, labelled), keep_from=0.3).columns == docs.columns
+    clash = docs.withColumn("quality_score", F.lit("mine"))
+    model = quality.train(clash, quality.trusted(none, "quality", F.lit(True)))
+    scored = quality.score(clash, model)
+    assert scored.count() == docs.count() and scored.columns == [*clash.columns, "_quality_score"]
+    assert {r["_quality_score"] for r in scored.collect()} == {0.5} and quality.score(empty(spark), model).count() == 0
+    assert quality.score(docs, model, keep_from=0.3).columns == docs.columns
     mixed = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, None), (None, 1)], "doc_id long, quality int")
-    assert [r[0] for r in quality.trusted(mixed, "quality", F.lit(True))[0].collect()] == [2]
+    assert [r[0] for r in quality.trusted(mixed, "quality", F.lit(True)).collect()] == [2]
+    all_labelled = docs.filter("doc_id is not null").select("doc_id", F.lit(1).alias("quality"))
+    assert quality.score(docs, quality.train(docs, quality.trusted(all_labelled, "quality", F.lit(True)))).count() == docs.count()
+    long = spark.createDataFrame([(1, "word " * 400_000, "en", "s", 1), (1, "word " * 400_000, "en", "s", 1)], DOCS)
+    assert len({r["quality_score"] for r in quality.score(long, model).collect()}) == 1
 
 
 def test_language_from_text_and_from_other_evidence(spark):
@@ -449,8 +522,77 @@ def test_language_from_text_and_from_other_evidence(spark):
     assert langid.identify(frame.limit(0)).count() == 0
 
 
+def test_rare_languages_are_one_class_and_none_gives_unknown(spark):
+    rng = random.Random(3)
+    letters = {"en": "thewandofris", "de": "schungeidrpf", **{c: "zkqvxyjw" for c in ("cs", "pl", "sk")}}
+    text = lambda code: " ".join("".join(rng.choice(letters[code]) for _ in range(rng.randint(2, 8))) for _ in range(40))
+    rows = [(text(c), c) for c in ["en", "de"] * 60 + ["cs", "pl", "sk"] * 8]
+    frame = spark.createDataFrame(rows, "text string, declared string").withColumns({c: F.lit(None).cast("string") for c in ("host", "domain", "suffix")})
+    got = langid.identify(frame.withColumn("code", F.col("declared"))).collect()
+    assert all(r["language"] == (r["code"] if r["code"] in ("en", "de") else "other") and r["accepted"] for r in got)
+    got = langid.identify(frame.withColumn("declared", F.lit(None).cast("string"))).select("language").distinct().collect()
+    assert [r[0] for r in got] == ["und"]
+
+
+def slow_fuse(rows, n, g_of):
+    """Posteriors by plain sums over all other rows."""
+    k = langid.KAPPA
+    for r in rows:
+        e = np.exp(np.array(r["ll"]) - max(r["ll"]))
+        p = e / e.sum()
+        r["p"] = np.where(p >= langid.VOTE, p, 0.0) if r["trigrams"] else np.zeros(n)
+        r["w"] = float(r["trigrams"] > 0)
+    g = (sum(r["p"] for r in rows) + 1) / (sum(r["w"] for r in rows) + n)
+    out = []
+    for r in rows:
+        def share(parent, same):
+            if same is None:
+                return (k * parent) / k, 0.0
+            rest = [x for x in rows if x is not r and same(x)]
+            w = sum(x["w"] for x in rest)
+            return (sum((x["p"] for x in rest), np.zeros(n)) + k * parent) / (w + k), w
+
+        domain, _ = share(g, (lambda x: x["domain"] == r["domain"]) if r["domain"] else None)
+        host, w = share(domain, (lambda x: (x["host"], x["domain"], x["suffix"]) == (r["host"], r["domain"], r["suffix"])) if r["host"] else None)
+        said, _ = share(g, (lambda x: x["declared"] == r["declared"]) if r["declared"] else None)
+        suffix, _ = share(g, (lambda x: x["suffix"] == r["suffix"]) if r["suffix"] else None)
+        f = np.array(r["ll"]) + np.log(host) + np.log(said / g) + np.log(suffix / g) * k / (w + k)
+        e = np.exp(f - f.max())
+        out.append((int(f.argmax()), float(e.max() / e.sum())))
+    return out
+
+
+def test_fusion_matches_plain_sums(spark):
+    rng = random.Random(17)
+    rows = []
+    for i in range(200):
+        host, domain, suffix = rng.choice([(None, None, None), ("a.x.de", "x.de", "de"), ("b.x.de", "x.de", "de"), ("y.fr", None, "fr"), ("z", None, None)])
+        rows.append({"id": i, "declared": rng.choice([None, "de", "en", "fr"]), "host": host, "domain": domain, "suffix": suffix, "trigrams": rng.choice([0, 5, 900]), "ll": [rng.uniform(-9, 0) for _ in range(3)]})
+        if not rows[-1]["trigrams"]:
+            rows[-1]["ll"] = [0.0] * 3
+    schema = "id long, declared string, host string, domain string, suffix string, trigrams long, ll array<double>"
+    frame = save(spark.createDataFrame([tuple(r.values()) for r in rows], schema))
+    model = langid.Model(["de", "en", "fr"], [])
+    got = {r["id"]: r for r in langid.fuse(frame, model).collect()}
+    for r, (best, confidence) in zip(rows, slow_fuse([dict(r) for r in rows], 3, None), strict=True):
+        assert got[r["id"]]["language"] == model.languages[best] and got[r["id"]]["confidence"] == pytest.approx(confidence, rel=1e-9)
+
+
+def test_accepted_keeps_rows_and_columns(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(("the and of with", "und der die nicht")[i % 2].split()) for _ in range(60)), ("en", "de")[i % 2], "s", 1) for i in range(80)]
+    rows += [(900, None, "en", "s", 1), (901, "", "en", None, 1), (902, "12 34", "de", "s", 1), (903, "the and of " * 200_000, "en", "s", 1), rows[3]]
+    frame = spark.createDataFrame(rows, DOCS).withColumn("h1", F.lit("clash")).withColumn("host", F.lit(1)).withColumn("declared", F.lit(2))
+    got = langid.accepted(frame)
+    assert got.columns == frame.columns and sorted(r["doc_id"] for r in got.collect()) == sorted([*range(80), 3, 903])
+    assert langid.accepted(frame.limit(0)).count() == 0
+
+
 def test_addresses_and_markup(spark):
+    urls = {"https://example.com/x": ("example.com", None, "com"), "http://a.b.shop.co.uk": ("a.b.shop.co.uk", "shop.co.uk", "uk"), "http://1.2.3.4/": ("1.2.3.4", None, None), "http://www.xn--e1a.xn--p1ai/": ("www.xn--e1a.xn--p1ai", "xn--e1a.xn--p1ai", "xn--p1ai"), "/relative": (None, None, None)}
+    rows = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r[0]: tuple(r[1:]) for r in rows.select("url", *[c.alias(str(i)) for i, c in enumerate(langid.address(F.col("url")))]).collect()} == urls
     row = spark.createDataFrame([("https://u:p@Www.Example.co.de:80/en/x?y#z", '<HTML class=a lang="de-AT"><script>no()</script><!-- no --><p>ja</p>')], "url string, html string")
     host, domain, suffix = langid.address(F.col("url"))
     text, declared = langid.markup(F.col("html"))
-    assert tuple(row.select(host, domain, suffix, F.trim(text), declared).first()) == ("www.example.co.de", "co.de", "de", "ja", "de")
+    assert tuple(row.select(host, domain, suffix, F.trim(text), declared).first()) == ("www.example.co.de", "example.co.de", "de", "ja", "de")
