@@ -398,7 +398,7 @@ def test_top_k_matches_brute_force(spark):
             best = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in fine if i != q)[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
-    big = [(50, [2.0**30, 1.0, -(2.0**30)]), (1, [2.0**20, 3.0, 5.0]), (2, [2.0**20, 2.0, 5.0]), (3, [2.0**20, 2.0, 5.0 - 2**-8])]
+    big = [(50, [2.0**22, 1.0, -(2.0**22)]), (1, [2.0**20, 3.0, 5.0]), (2, [2.0**20, 2.0, 5.0]), (3, [2.0**20, 2.0, 5.0 - 2**-8])]
     base = save(voronoi.quantized(spark.createDataFrame(big, "vec_id long, embedding array<double>")))
     exact = sorted((-sum(int(x * 256) * int(y * 256) for x, y in zip(big[0][1], v, strict=True)), i) for i, v in big[1:])
     assert [(-r["score"], r["vec_id"]) for r in voronoi.top_k(base, F.col("vec_id") == 50).orderBy("rank").collect()] == exact
