@@ -78,3 +78,8 @@ def lexicon_hits(text: Column, terms: tuple[str, ...]) -> Column:
     """The lexicon's terms that occur in the normalised text, as substrings."""
     flat = normalize(text)
     return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: flat.contains(t))
+
+
+def basename(path: Column) -> Column:
+    """What follows the last slash or backslash."""
+    return F.element_at(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), -1)

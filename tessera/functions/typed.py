@@ -20,3 +20,8 @@ def boolean(raw: Column) -> Column:
 def listed(raw: Column, separator: str = ";") -> Column:
     """Trimmed items that are not empty; null and blank strings give an empty list."""
     return F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), separator), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def json_or_raw(raw: Column, name: str) -> Column:
+    """A property of a JSON object; text that does not parse is returned as it is."""
+    return F.when(F.try_parse_json(raw).isNull(), raw).otherwise(F.get_json_object(raw, f"$.{name}"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import clamp01, jaccard, overlap, rescale
+from ..functions.text import clamp01, overlap, rescale
+from .retrieval import counter_cosine
 
 
 def weighted_available(*signals: tuple[Column, float]) -> Column:
@@ -16,7 +17,7 @@ def weighted_available(*signals: tuple[Column, float]) -> Column:
     return F.when(weight == 0, F.lit(0.0)).otherwise(clamp01(total / weight))
 
 
-def semantic(cos: Column, lexnorm: Column, floor: float = 0.0, ceiling: float = 1.0) -> Column:
+def semantic(cos: Column, lexnorm: Column, floor: float = 0.25, ceiling: float = 0.85) -> Column:
     return 0.7 * rescale(cos, floor, ceiling) + 0.3 * lexnorm
 
 
@@ -29,10 +30,18 @@ def recency(year: Column, reference: Column, half_life: float = 6.0) -> Column:
     return F.when(year.between(1901, 2199), F.pow(F.lit(0.5), F.greatest(F.lit(0), reference - year) / half_life))
 
 
-def penalties(inactive: Column, evidence: Column, meaning: Column, lexnorm: Column, most: float = 0.35) -> Column:
-    """Inactive .15, thin evidence .10, superficial match .08; together at most ``most``."""
-    total = F.when(inactive, 0.15).otherwise(0.0) + F.when(evidence < 0.30, 0.10).otherwise(0.0) + F.when((meaning < 0.35) & (lexnorm < 0.2), 0.08).otherwise(0.0)
-    return F.least(F.lit(most), total)
+def penalties(inactive: Column, evidence: Column, meaning: Column, matched: Column, near: Column, domain: Column, asks_area: Column, most: float = 0.35) -> dict[str, Column]:
+    """Inactive .15, thin evidence (under .30) .10, superficial .08 (meaning under .35, at most one matched term, no proximity),
+    domain mismatch .10 (domain 0, meaning under .55, the query has area terms); scaled to ``most`` together, each to 4 places."""
+    raw = {
+        "inactive": F.when(inactive, 0.15).otherwise(0.0),
+        "thin": F.when(evidence < 0.30, 0.10).otherwise(0.0),
+        "superficial": F.when((meaning < 0.35) & (matched <= 1) & (near <= 0), 0.08).otherwise(0.0),
+        "mismatch": F.when((domain <= 0) & (meaning < 0.55) & asks_area, 0.10).otherwise(0.0),
+    }
+    whole = sum(list(raw.values())[1:], raw["inactive"])
+    scale = F.when(whole > most, most / whole).otherwise(1.0)
+    return {name: F.round(x * scale, 4) for name, x in raw.items()}
 
 
 def ranked(rows: DataFrame, total: str = "total") -> DataFrame:
@@ -47,23 +56,42 @@ def diversified(rows: DataFrame, k: int, quota: int = 2, floor: float = 0.0) ->
 
 
 def confidence(meaning: Column, total: Column) -> Column:
+    """Level of a response by its first row; without any row, 'none'."""
+    return F.when(total.isNull(), "none").otherwise(_level(meaning, total))
+
+
+def _level(meaning: Column, total: Column) -> Column:
     return F.when((meaning < 0.45) | (total < 0.55), "low").when(total >= 0.70, "high").otherwise("medium")
 
 
 def precision(selected: DataFrame, labels: DataFrame, k: int) -> DataFrame:
-    """(query, retrieved, labelled, hits, precision, labelled_precision) of selected (query, id, place) against labels (id, grade)."""
-    rows = selected.filter(F.col("place") <= k).join(labels, "id", "left")
+    """(query, retrieved, labelled, hits, precision, labelled_precision) of selected (query, id, place) against labels (query, id, grade)."""
+    rows = selected.filter(F.col("place") <= k).join(labels, ["query", "id"], "left")
     hit = F.count(F.when(F.col("grade") > 0, 1))
     counts = rows.groupBy("query").agg(F.count("*").alias("retrieved"), F.count("grade").alias("labelled"), hit.alias("hits"))
     return counts.withColumn("precision", F.col("hits") / F.col("retrieved")).withColumn("labelled_precision", F.when(F.col("labelled") > 0, F.col("hits") / F.col("labelled")))
 
 
+def hit_rate(selected: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """(query, hits, expected, hit_rate, ceiling): hits among all the query's relevant items (query, id, grade), and the most that k rows allow."""
+    wanted = labels.filter("grade > 0").groupBy("query").agg(F.countDistinct("id").alias("expected"))
+    hits = selected.filter(F.col("place") <= k).join(labels.filter("grade > 0").select("query", "id").distinct(), ["query", "id"], "left_semi").groupBy("query").agg(F.count("*").alias("hits"))
+    rows = wanted.join(hits, "query", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    return rows.withColumn("hit_rate", F.col("hits") / F.col("expected")).withColumn("ceiling", F.least(F.lit(1.0), F.lit(k) / F.col("expected")))
+
+
 def ndcg(selected: DataFrame, labels: DataFrame, k: int) -> DataFrame:
-    """(query, ndcg): gains 2^grade - 1 discounted by log2 of the place + 1, over the ideal order of what was retrieved."""
-    rows = selected.filter(F.col("place") <= k).join(labels, "id", "left").withColumn("gain", F.pow(F.lit(2.0), F.coalesce("grade", F.lit(0))) - 1)
-    rows = rows.withColumn("ideal", F.row_number().over(W.partitionBy("query").orderBy(F.desc("gain"), "id")))
-    sums = rows.groupBy("query").agg(F.sum(F.col("gain") / F.log2(F.col("place") + 1)).alias("got"), F.sum(F.col("gain") / F.log2(F.col("ideal") + 1)).alias("best"))
-    return sums.select("query", F.when(F.col("best") > 0, F.col("got") / F.col("best")).otherwise(F.lit(0.0)).alias("ndcg"))
+    """(query, ndcg) of selected (query, id, place) against labels (query, id, grade).
+
+    Gains 2^grade - 1 are discounted by log2 of the place + 1. The ideal order takes the query's best labels, found or not,
+    as many as were retrieved; without any label of a grade it is 0.
+    """
+    rows = selected.filter(F.col("place") <= k).join(labels, ["query", "id"], "left").withColumn("gain", F.pow(F.lit(2.0), F.coalesce("grade", F.lit(0))) - 1)
+    got = rows.groupBy("query").agg(F.sum(F.col("gain") / F.log2(F.col("place") + 1)).alias("got"), F.count("*").alias("n"))
+    order = F.row_number().over(W.partitionBy("query").orderBy(F.desc("grade"), "id"))
+    ideal = labels.withColumn("at", order).filter(F.col("at") <= k).join(got.select("query", "n"), "query").filter("at <= n")
+    best = ideal.groupBy("query").agg(F.sum((F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col("at") + 1)).alias("best"))
+    return got.join(best, "query", "left").select("query", F.when(F.col("best") > 0, F.col("got") / F.col("best")).otherwise(F.lit(0.0)).alias("ndcg"))
 
 
 def domain(asked: Column, anchors: Column, topical: Column, asked_area: Column, area: Column) -> Column:
@@ -79,9 +107,15 @@ def method(asked: Column, found: Column, most: float = 0.75) -> Column:
     return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, found)) / F.size(F.array_distinct(asked))).otherwise(declared)
 
 
-def graph(hops: Column, degree: Column, bridge: Column, decay: tuple[float, ...] = (1.0, 0.6, 0.3)) -> Column:
-    """Proximity .45 by distance, connectivity .35, bridge .20; unreachable is proximity 0."""
-    near = F.when(hops.between(1, len(decay)), F.element_at(F.array(*[F.lit(x) for x in decay]), hops)).otherwise(0.0)
+def proximity(hops: Column, decay: tuple[float, ...] = (1.0, 0.6, 0.3)) -> Column:
+    """By distance; 0 if unreachable."""
+    return F.when(hops.between(1, len(decay)), F.element_at(F.array(*[F.lit(x) for x in decay]), hops)).otherwise(0.0)
+
+
+def graph(hops: Column, degree: Column, bridge: Column, support: Column | None = None) -> Column:
+    """Proximity .45, connectivity .35, bridge .20. ``support``, the hops of an expansion that found the row, counts .75 as much as
+    the distance from the query's source; the greater one is the proximity."""
+    near = proximity(hops) if support is None else F.greatest(proximity(hops), 0.75 * proximity(support))
     return weighted_available((near, 0.45), (connectivity(degree), 0.35), (bridge, 0.20))
 
 
@@ -96,22 +130,24 @@ def evidence(fields: list[Column], source: list[Column], relations: Column, docu
 
 def actionable(status: Column, scores: dict[str, float], year: Column, reference: Column, people: Column, outputs: Column, resources: Column, unknown: float = 0.70) -> Column:
     """Status .35 (from ``scores``, others ``unknown``), recency .25, people .20, outputs .10, resources .10; nulls give their weight away."""
-    known = F.lit(unknown)
+    known = F.lit(unknown)  # blank and unknown ones
     for name, score in scores.items():
         known = F.when(status == name, score).otherwise(known)
     return weighted_available((known, 0.35), (recency(year, reference), 0.25), (people, 0.20), (outputs, 0.10), (resources, 0.10))
 
 
-def redundancy(rows: DataFrame, profiles: DataFrame, window: int = 50, least: float = 0.8, penalty: float = 0.06) -> DataFrame:
-    """Ranked rows ranked anew after rows like a better one in the query's first ``window`` lose ``penalty``; adds redundancy.
+def redundancy(rows: DataFrame, counts: DataFrame, window: int = 50, least: float = 0.92, penalty: float = 0.06) -> DataFrame:
+    """Ranked rows ranked anew after rows like a better one of their kind in the query's first ``window`` lose ``penalty``; adds redundancy.
 
-    ``profiles`` has (id, terms). A duplicate still counts for those behind it. At most window * (window - 1) / 2 pairs a query.
+    ``counts`` has (id, term, tf) of the rows in the window; likeness is the cosine of the counts. A duplicate still counts for
+    those behind it. At most window * (window - 1) / 2 pairs a query.
     """
-    top = rows.filter(F.col("rank") <= window).select("query", "id", "rank").join(profiles, "id")
-    better = top.select("query", F.col("rank").alias("ahead"), F.col("terms").alias("other"))
-    pairs = top.join(better, "query").filter("ahead < rank")
-    like = pairs.groupBy("query", "id").agg(F.max(jaccard(F.col("terms"), F.col("other"))).alias("likeness"))
-    found = rows.join(like.filter(F.col("likeness") >= least).select("query", "id", F.lit(penalty).alias("lost")), ["query", "id"], "left")
+    top = rows.filter(F.col("rank") <= window).select("query", "kind", "id", "rank")
+    better = top.select("query", "kind", F.col("rank").alias("ahead"), F.col("id").alias("other"))
+    pairs = top.join(better, ["query", "kind"]).filter("ahead < rank")
+    alike = counter_cosine(counts, pairs.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()).filter(F.col("cosine") >= least)
+    like = pairs.join(alike.select(F.col("a").alias("id"), F.col("b").alias("other")), ["id", "other"]).select("query", "id", F.lit(penalty).alias("lost")).distinct()
+    found = rows.join(like, ["query", "id"], "left")
     lost = F.coalesce("lost", F.lit(0.0))
     cut = found.withColumn("redundancy", lost).withColumn("total", F.round(F.greatest(F.lit(0.0), F.col("total") - lost), 6)).drop("lost")
     return ranked(cut.drop("rank"))

@@ -1,3 +1,3 @@
-"""Registered queries: catalog holds the registry, connections adds to it."""
+"""Registered queries: catalog holds the registry, connections and details add to it."""
 
-from . import catalog, connections  # noqa: F401
+from . import catalog, connections, details  # noqa: F401

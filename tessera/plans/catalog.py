@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text, vectors
-from ..operators import graph, retrieval, scoring, validation
+from ..functions import text
+from ..operators import graph, index, retrieval, scoring, validation
 from ..sources.tables import edges, nodes, table
+from ..storage import save
+from .search import ASKED_SQL, BM25_SQL, HYBRID_SQL, MIX_SQL, TERMS_SQL, TOKENS_SQL, VEC_SQL, docs_of, query_vectors, scored, searches, selected, units
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: The searches: text and the vector they start from.
-SEARCHES = [(1, "the thing that was with this", 0), (2, "für die und nicht von der", 1), (3, "pour les dans une avec idiot", 2)]
 SEEDS = ["NT-3", "CU-7", "SU-4", "PT-11"]
 
 
@@ -48,6 +48,14 @@ def validate_broken_fk(spark, d):
     return validation.broken_references(table(spark, d, "orders"), "o_custkey", parents, "c_custkey").select("o_orderkey", "o_custkey")
 
 
+@query("SELECT event_id, trim(event_type) AS ref FROM events WHERE event_id % 3 = 0 AND trim(event_type) NOT IN (SELECT c_mktsegment FROM customer)")
+def validate_blank_keys(spark, d):
+    """References that are strings: blank ones, here two of three, are none."""
+    ref = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).when(F.col("event_id") % 3 == 1, F.lit("  ")).otherwise(F.lit(""))
+    child = table(spark, d, "events").select("event_id", ref.alias("ref"))
+    return validation.broken_references(child, "ref", table(spark, d, "customer"), "c_mktsegment").select("event_id", F.trim("ref").alias("ref"))
+
+
 @query("""SELECT 'part' AS side, l_orderkey, l_linenumber, CAST(l_partkey AS BIGINT) AS missing FROM lineitem WHERE l_partkey % 11 = 0
 UNION ALL SELECT 'supplier', l_orderkey, l_linenumber, CAST(l_suppkey AS BIGINT) FROM lineitem WHERE l_suppkey % 13 = 0""")
 def validate_relation_endpoints(spark, d):
@@ -69,6 +77,11 @@ GRAPH_SQL = f"WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, {ADJ_SQL}, {SEEDS_SQL}"
 WALK_SQL = "near AS (SELECT DISTINCT id, other FROM adj), w AS (SELECT id AS seed, id, 0 AS hops FROM seeds UNION SELECT w.seed, near.other, w.hops + 1 FROM w JOIN near USING (id) WHERE w.hops < {hops}), walk AS (SELECT seed, id, CAST(min(hops) AS INTEGER) AS hops FROM w GROUP BY ALL)"
 
 
+def near(spark, d):
+    """Who is next to whom in the whole graph: saved when first asked for."""
+    return index.once(edges(spark, d), "near", lambda: save(graph.near_of(edges(spark, d))))
+
+
 def seeds(spark, ids=SEEDS):
     return spark.createDataFrame([(i,) for i in ids], "id string")
 
@@ -92,9 +105,11 @@ def edges_by_type(spark, d):
     return edges(spark, d).groupBy("rel").agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_suppkey, l_partkey, arg_max(l_quantity, (l_shipdate, l_orderkey, l_linenumber, l_quantity)) AS l_quantity, count(*) AS provenance FROM lineitem GROUP BY 1, 2")
+@query("SELECT l_suppkey, l_partkey, arg_max(l_quantity, (l_shipdate, l_orderkey, l_linenumber, l_quantity)) AS l_quantity, count(*) AS provenance, array_to_string(list_sort(list(DISTINCT 'lineitem:' || l_orderkey || ':' || l_linenumber)), '|') AS sources FROM lineitem GROUP BY 1, 2")
 def edges_merged(spark, d):
-    return graph.merge_edges(table(spark, d, "lineitem"), ["l_suppkey", "l_partkey"], [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber")], ["l_quantity"])
+    order = [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber")]
+    origin = [F.lit("lineitem"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")]
+    return graph.merge_edges(table(spark, d, "lineitem"), ["l_suppkey", "l_partkey"], order, ["l_quantity"], origin).withColumn("sources", F.concat_ws("|", "sources"))
 
 
 @query(f"{GRAPH_SQL} SELECT a.id, a.rel, a.direction, a.other, n.label, n.title FROM adj a JOIN seeds USING (id) JOIN nodes n ON n.id = a.other")
@@ -109,12 +124,12 @@ def node_degree(spark, d):
 
 @query(f"{GRAPH_SQL}, {WALK_SQL.format(hops=3)} SELECT seed, id, hops FROM walk")
 def bfs_distance(spark, d):
-    return graph.walk(edges(spark, d, ("IN_REGION", "LIVES_IN", "BASED_IN", "PLACED_BY", "CONTAINS", "SUPPLIES")), seeds(spark), 3)
+    return graph.walk(edges(spark, d), seeds(spark), 3, near(spark, d))
 
 
 @query(f"{GRAPH_SQL}, {WALK_SQL.format(hops=2)}, f AS (SELECT walk.*, min(hops) OVER (PARTITION BY seed) AS least FROM walk JOIN nodes USING (id) WHERE hops > 0 AND label = 'Customer') SELECT seed, id, hops FROM f WHERE hops = least QUALIFY row_number() OVER (PARTITION BY seed ORDER BY id) <= 50")
 def related_direct_or_two_hop(spark, d):
-    return graph.related(edges(spark, d), seeds(spark), nodes(spark, d), "Customer")
+    return graph.related(edges(spark, d), seeds(spark), nodes(spark, d), "Customer", near=near(spark, d))
 
 
 @query(f"{GRAPH_SQL}, {WALK_SQL.format(hops=1)}, i AS (SELECT DISTINCT id FROM walk WHERE seed IN ('CU-7', 'SU-4')) SELECT DISTINCT src, rel, dst FROM edges WHERE src IN (SELECT id FROM i) AND dst IN (SELECT id FROM i)")
@@ -130,10 +145,6 @@ def optional_collect_distinct(spark, d):
 
 # Text
 
-TOKENS_SQL = "toks AS (SELECT doc_id, lang, list_filter(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[0-9a-z]+'), lambda x: len(x) > 2) AS t FROM documents)"
-TERMS_SQL = TOKENS_SQL + ", sized AS (SELECT doc_id, lang, greatest(1, len(t)) AS len, t FROM toks), terms AS (SELECT doc_id, lang, len, unnest(list_concat(t, [t[i] || ' ' || t[i + 1] FOR i IN range(1, greatest(len(t), 1))])) AS term FROM sized), tf AS (SELECT doc_id, lang, len, term, count(*) AS tf FROM terms GROUP BY ALL)"
-
-
 @query("SELECT p_partkey, concat_ws(chr(10), CASE WHEN trim(p_name) <> '' THEN 'Name: ' || trim(p_name) END, CASE WHEN trim(p_brand) <> '' THEN 'Brand: ' || trim(p_brand) END, CASE WHEN trim(p_type) <> '' THEN 'Type: ' || trim(p_type) END) AS semantic_text FROM part")
 def semantic_text(spark, d):
     return table(spark, d, "part").select("p_partkey", text.labelled(("Name", F.col("p_name")), ("Brand", F.col("p_brand")), ("Type", F.col("p_type"))).alias("semantic_text"))
@@ -150,10 +161,10 @@ def token_stats(spark, d):
     return rows.select("doc_id", F.size("t").alias("tokens"), F.size(F.array_distinct("t")).alias("distinct_tokens"), F.size(text.bigrams(F.col("t"))).alias("bigrams"))
 
 
-@query(f"WITH {TERMS_SQL} SELECT lang, term, CAST(sum(tf) AS BIGINT) AS n, count(*) AS docs FROM tf GROUP BY 1, 2 HAVING sum(tf) >= 20")
+@query(f"WITH {TERMS_SQL} SELECT lang, term, CAST(sum(tf) AS BIGINT) AS n, count(*) AS docs FROM tf GROUP BY 1, 2")
 def term_statistics(spark, d):
-    rows = retrieval.postings(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("kind"), "text"))
-    return rows.groupBy(F.col("kind").alias("lang"), "term").agg(F.sum("tf").alias("n"), F.count("*").alias("docs")).filter("n >= 20")
+    rows = index.index_of(docs_of(spark, d)).postings
+    return rows.groupBy(F.col("kind").alias("lang"), "term").agg(F.sum("tf").alias("n"), F.count("*").alias("docs"))
 
 
 @query(f"WITH {TOKENS_SQL}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, list_distinct(a.t) AS x, list_distinct(b.t) AS y FROM toks a JOIN toks b ON b.doc_id = a.doc_id + 1) SELECT a, b, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE, 4) END AS jaccard, CASE WHEN least(len(x), len(y)) = 0 THEN 0.0 ELSE round(len(list_intersect(x, y)) / least(len(x), len(y))::DOUBLE, 4) END AS overlap FROM p")
@@ -171,107 +182,87 @@ def canonical_ids(spark, d):
 
 # Retrieval
 
-ASKED_SQL = "q0 AS (SELECT * FROM (VALUES (1, 'the thing that was with this', 0), (2, 'für die und nicht von der', 1), (3, 'pour les dans une avec idiot', 2)) v(query, text, vec)), q1 AS (SELECT query, list_filter(regexp_extract_all(lower(strip_accents(text)), '[0-9a-z]+'), lambda x: len(x) > 2) AS t FROM q0), q AS (SELECT DISTINCT query, unnest(list_concat(t, [t[i] || ' ' || t[i + 1] FOR i IN range(1, greatest(len(t), 1))])) AS term FROM q1)"
-BM25_SQL = f"{TERMS_SQL}, {ASKED_SQL}, whole AS (SELECT count(*) AS n, avg(len) AS avg_len FROM sized), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), parts AS (SELECT query, doc_id AS id, lang AS kind, term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) AS part FROM tf JOIN q USING (term) JOIN df USING (term), whole), lex AS (SELECT query, id, kind, sum(part) AS score FROM parts GROUP BY ALL)"
-VEC_SQL = "unit AS (SELECT vec_id AS id, label::VARCHAR AS kind, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings)"
 
-
-def _searches(spark):
-    return spark.createDataFrame(SEARCHES, "query int, text string, vec long")
-
-
-def _docs(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("kind"), "text")
+def _terms(spark):
+    return retrieval.query_terms(searches(spark))
 
 
 @query(f"WITH {BM25_SQL} SELECT query, id, kind, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY query, kind ORDER BY round(score, 8) DESC, id) AS INTEGER) AS rank FROM lex QUALIFY row_number() OVER (PARTITION BY query, kind ORDER BY round(score, 8) DESC, id) <= 30")
 def bm25_search_by_type(spark, d):
-    scored = retrieval.bm25(_docs(spark, d), _searches(spark)).withColumn("score", F.round("score", 8))
-    return retrieval.top_per_kind(scored, 30).withColumn("score", F.round("score", 4))
+    found = retrieval.bm25(index.index_of(docs_of(spark, d)), _terms(spark)).drop("matched").withColumn("score", F.round("score", 8))
+    return retrieval.top_per_kind(found, 30).withColumn("score", F.round("score", 4))
 
 
 @query(f"WITH {BM25_SQL} SELECT query, id, string_agg(term, '|' ORDER BY idf DESC, term) AS terms FROM parts GROUP BY 1, 2")
 def bm25_matched_terms(spark, d):
-    return retrieval.matched_terms(_docs(spark, d), _searches(spark))
-
-
-def _query_vectors(spark, d):
-    own = table(spark, d, "embeddings").select("vec_id", "embedding")
-    asked = _searches(spark).select("query", "vec").join(own, F.col("vec") == F.col("vec_id")).select("query", F.col("embedding").alias("a"), (F.col("vec") + 10).alias("source"))
-    return asked.join(own, F.col("source") == F.col("vec_id")).select("query", vectors.mixed(vectors.normalized(F.col("a")), vectors.normalized(F.col("embedding"))).alias("vector"))
+    return retrieval.matched_terms(index.index_of(docs_of(spark, d)), _terms(spark))
 
 
-def _vectors(spark, d):
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("kind"), "embedding")
+@query(f"WITH {ASKED_SQL}, {VEC_SQL}, {MIX_SQL} SELECT query, id, kind, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY query, kind ORDER BY round(score, 8) DESC, id) AS INTEGER) AS rank FROM cosine QUALIFY row_number() OVER (PARTITION BY query, kind ORDER BY round(score, 8) DESC, id) <= 30")
+def vector_topk_by_type(spark, d):
+    found = retrieval.cosine(units(spark, d), query_vectors(spark, d)).withColumn("score", F.round("score", 8))
+    return retrieval.top_per_kind(found, 30).withColumn("score", F.round("score", 4))
 
 
-MIX_SQL = "mix AS (SELECT query, [0.65 * a.e[i] / a.norm + 0.35 * b.e[i] / b.norm FOR i IN range(1, len(a.e) + 1)] AS m FROM q0 JOIN unit a ON a.id = q0.vec JOIN unit b ON b.id = q0.vec + 10), cosine AS (SELECT query, u.id, u.kind, list_inner_product(u.e, m) / u.norm / sqrt(list_inner_product(m, m)) AS score FROM unit u, mix)"
+SIGNALS = ("semantic", "domain", "method", "graph", "evidence", "actionable")
 
 
-@query(f"WITH {ASKED_SQL}, {VEC_SQL}, {MIX_SQL} SELECT query, id, kind, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY query, kind ORDER BY round(score, 8) DESC, id) AS INTEGER) AS rank FROM cosine QUALIFY row_number() OVER (PARTITION BY query, kind ORDER BY round(score, 8) DESC, id) <= 30")
-def vector_topk_by_type(spark, d):
-    scored = retrieval.cosine(_vectors(spark, d), _query_vectors(spark, d)).withColumn("score", F.round("score", 8))
-    return retrieval.top_per_kind(scored, 30).withColumn("score", F.round("score", 4))
-
-
-HYBRID_SQL = f"""WITH {BM25_SQL}, {VEC_SQL}, {MIX_SQL}, l AS (SELECT query, id, kind, round(score, 8) AS score FROM lex),
-c AS (SELECT query, id, d.lang AS kind, round(score, 8) AS score FROM cosine JOIN documents d ON d.doc_id = cosine.id),
-found AS (SELECT query, id, kind, 'lexical' AS channel FROM l QUALIFY row_number() OVER (PARTITION BY query, kind ORDER BY score DESC, id) <= 30
-  UNION ALL SELECT query, id, kind, 'vector' FROM c QUALIFY row_number() OVER (PARTITION BY query, kind ORDER BY score DESC, id) <= 30),
-m AS (SELECT query, id, kind, string_agg(channel, '+' ORDER BY channel) AS channels FROM found GROUP BY ALL),
-n AS (SELECT m.*, coalesce(c.score, 0.0) AS cos, coalesce(l.score / max(l.score) OVER (PARTITION BY m.query), 0.0) AS lexnorm FROM m LEFT JOIN l USING (query, id) LEFT JOIN c USING (query, id)),
-s AS (SELECT n.*, 0.7 * least(1, greatest(0, cos)) + 0.3 * lexnorm AS semantic, CASE WHEN g.quality IS NULL THEN 0.2 ELSE 0.8 END AS evidence, coalesce(g.toxic = 1, false) AS inactive, least(1, ln(1 + length(text)) / ln(1 + 4000.0)) AS graph
-  FROM n JOIN documents d ON d.doc_id = n.id LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) g ON g.doc_id = n.id),
-t AS (SELECT *, least(0.35, CASE WHEN inactive THEN 0.15 ELSE 0 END + CASE WHEN evidence < 0.3 THEN 0.1 ELSE 0 END + CASE WHEN semantic < 0.35 AND lexnorm < 0.2 THEN 0.08 ELSE 0 END) AS penalty FROM s),
-u AS (SELECT *, round(greatest(0, (0.6 * semantic + 0.2 * evidence + 0.2 * graph) - penalty), 6) AS total FROM t),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY total DESC, id) AS INTEGER) AS rank FROM u),
-k AS (SELECT *, row_number() OVER (PARTITION BY query, kind ORDER BY rank) AS in_kind FROM ranked),
-sel AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY CAST(in_kind > 2 AS INTEGER), rank) AS INTEGER) AS place FROM k)"""
-
-
-def _scored(spark, d):
-    lexical = retrieval.bm25(_docs(spark, d), _searches(spark)).withColumn("score", F.round("score", 8))
-    kinds = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("kind"), F.length("text").alias("size"))
-    near = retrieval.cosine(_vectors(spark, d), _query_vectors(spark, d)).drop("kind").join(kinds.drop("size"), "id").withColumn("score", F.round("score", 8))
-    rows = retrieval.candidates(lexical, near, 30)
-    graded = table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    rows = rows.join(kinds.select("id", "size"), "id").join(graded, "id", "left")
-    rows = rows.withColumn("semantic", scoring.semantic(F.col("cos"), F.col("lexnorm"))).withColumn("evidence", F.when(F.col("quality").isNull(), 0.2).otherwise(0.8))
-    rows = rows.withColumn("graph", scoring.connectivity(F.col("size"), 4000)).withColumn("inactive", F.coalesce(F.col("toxic") == 1, F.lit(False)))
-    rows = rows.withColumn("penalty", scoring.penalties(F.col("inactive"), F.col("evidence"), F.col("semantic"), F.col("lexnorm")))
-    base = scoring.weighted_available((F.col("semantic"), 0.6), (F.col("evidence"), 0.2), (F.col("graph"), 0.2))
-    rows = rows.withColumn("total", F.round(F.greatest(F.lit(0.0), base - F.col("penalty")), 6))
-    return scoring.ranked(rows)
-
-
-@query(f"{HYBRID_SQL} SELECT query, id, kind, channels, round(semantic, 4) AS semantic, round(penalty, 4) AS penalty, total, rank FROM ranked")
+@query(f"{HYBRID_SQL} SELECT query, id, kind, channels, {', '.join(f'round({s}, 4) AS {s}' for s in SIGNALS)}, round(penalty, 4) AS penalty, redundancy, total, rank FROM ranked")
 def hybrid_candidates(spark, d):
-    rows = _scored(spark, d)
-    return rows.select("query", "id", "kind", "channels", *[F.round(c, 4).alias(c) for c in ("semantic", "penalty")], "total", "rank")
+    return scored(spark, d).select("query", "id", "kind", "channels", *[F.round(c, 4).alias(c) for c in (*SIGNALS, "penalty")], "redundancy", "total", "rank")
 
 
-@query(f"{HYBRID_SQL} SELECT query, id, kind, rank, place, total, CASE WHEN semantic < 0.45 OR total < 0.55 THEN 'low' WHEN total >= 0.7 THEN 'high' ELSE 'medium' END AS confidence FROM sel WHERE place <= 10")
+@query(f"{HYBRID_SQL} SELECT query, id, kind, rank, place, total, confidence FROM sel JOIN level USING (query) WHERE place <= 10")
 def hybrid_search(spark, d):
-    chosen = scoring.diversified(_scored(spark, d), 10)
-    return chosen.select("query", "id", "kind", "rank", "place", "total", scoring.confidence(F.col("semantic"), F.col("total")).alias("confidence"))
+    chosen = selected(spark, d)
+    level = chosen.filter("place = 1").select("query", scoring.confidence(F.col("semantic"), F.col("total")).alias("confidence"))
+    return chosen.join(F.broadcast(level), "query").select("query", "id", "kind", "rank", "place", "total", "confidence")  # a row for each search
 
 
 # Evaluation
 
+#: Rows that a reviewer would grade: documents of a kind that hold a term, some by hand, and those that must not be found.
+REVIEWS = [(1, "tion", "en", 11), (2, "keit", "de", 12), (3, "ment", "fr", 13)]
+REVIEWS_SQL = "rv AS (SELECT * FROM (VALUES " + ", ".join(str(r) for r in REVIEWS) + ") v(query, anchor, kind, by_hand)), lab AS (SELECT query, doc_id AS id, CASE WHEN doc_id = by_hand THEN 2 ELSE 1 END AS grade FROM rv JOIN documents ON doc_id = by_hand OR (lang = rv.kind AND contains(lower(strip_accents(coalesce(source, '') || ' ' || coalesce(text, ''))), anchor))), neg AS (SELECT query, doc_id AS id FROM rv, (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) g)"
+
+
+def reviews(spark, d):
+    """(query, id, grade): 1 where the folded fields hold the query's term, 2 where a hand has said so."""
+    asked = F.broadcast(spark.createDataFrame(REVIEWS, "query int, anchor string, wanted string, by_hand long"))
+    folded = text.normalize(F.concat_ws(" ", "title", "text"))
+    rows = docs_of(spark, d).select("id", "kind", folded.alias("folded"))
+    hand = F.col("id") == F.col("by_hand")
+    rows = rows.join(asked, hand | ((F.col("kind") == F.col("wanted")) & F.col("folded").contains(F.col("anchor"))))
+    return rows.select("query", "id", F.when(hand, 2).otherwise(1).alias("grade"))
 
-def _grades(spark, d):
-    return table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("grade"))
 
+@query(f"WITH {REVIEWS_SQL} SELECT query, id, grade FROM lab")
+def review_labels(spark, d):
+    return reviews(spark, d)
 
-@query(f"{HYBRID_SQL} SELECT query, count(*) AS retrieved, count(grade) AS labelled, count(*) FILTER (grade > 0) AS hits, round(count(*) FILTER (grade > 0) / count(*)::DOUBLE, 4) AS precision, round(count(*) FILTER (grade > 0) / nullif(count(grade), 0)::DOUBLE, 4) AS labelled_precision FROM sel LEFT JOIN (SELECT doc_id AS id, max(quality) AS grade FROM labels GROUP BY 1) USING (id) WHERE place <= 10 GROUP BY query")
+
+@query(f"{HYBRID_SQL}, {REVIEWS_SQL} SELECT query, count(*) AS retrieved, count(grade) AS labelled, count(*) FILTER (grade > 0) AS hits, round(count(*) FILTER (grade > 0) / count(*)::DOUBLE, 4) AS precision, round(count(*) FILTER (grade > 0) / nullif(count(grade), 0)::DOUBLE, 4) AS labelled_precision FROM sel LEFT JOIN lab USING (query, id) WHERE place <= 10 GROUP BY query")
 def precision_at_k(spark, d):
-    found = scoring.precision(scoring.diversified(_scored(spark, d), 10).select("query", "id", "place"), _grades(spark, d), 10)
+    found = scoring.precision(selected(spark, d).select("query", "id", "place"), reviews(spark, d), 10)
     return found.withColumn("precision", F.round("precision", 4)).withColumn("labelled_precision", F.round("labelled_precision", 4))
 
 
-@query(f"{HYBRID_SQL}, g AS (SELECT query, id, place, pow(2.0, coalesce(grade, 0)) - 1 AS gain FROM sel LEFT JOIN (SELECT doc_id AS id, max(quality) AS grade FROM labels GROUP BY 1) USING (id) WHERE place <= 10), i AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY gain DESC, id) AS ideal FROM g) SELECT query, round(CASE WHEN sum(gain) > 0 THEN sum(gain / log2(place + 1)) / sum(gain / log2(ideal + 1)) ELSE 0 END, 4) AS ndcg FROM i GROUP BY query")
+@query(f"{HYBRID_SQL}, {REVIEWS_SQL}, e AS (SELECT query, count(DISTINCT id) AS expected FROM lab GROUP BY 1), h AS (SELECT query, count(*) AS hits FROM sel JOIN lab USING (query, id) WHERE place <= 10 GROUP BY 1) SELECT query, coalesce(hits, 0) AS hits, expected, round(coalesce(hits, 0) / expected::DOUBLE, 4) AS hit_rate, round(least(1.0, 10.0 / expected), 4) AS ceiling FROM e LEFT JOIN h USING (query)")
+def hit_rate_at_k(spark, d):
+    found = scoring.hit_rate(selected(spark, d), reviews(spark, d), 10)
+    return found.select("query", "hits", "expected", F.round("hit_rate", 4).alias("hit_rate"), F.round("ceiling", 4).alias("ceiling"))
+
+
+@query(f"{HYBRID_SQL}, {REVIEWS_SQL}, got AS (SELECT query, sum((pow(2.0, coalesce(grade, 0)) - 1) / log2(place + 1)) AS got, count(*) AS n FROM sel LEFT JOIN lab USING (query, id) WHERE place <= 10 GROUP BY query), best AS (SELECT query, sum((pow(2.0, grade) - 1) / log2(spot + 1)) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC, id) AS spot FROM lab) JOIN got USING (query) WHERE spot <= n GROUP BY query) SELECT query, round(coalesce(got / nullif(best, 0), 0), 4) AS ndcg FROM got LEFT JOIN best USING (query)")
 def ndcg_at_k(spark, d):
-    return scoring.ndcg(scoring.diversified(_scored(spark, d), 10).select("query", "id", "place"), _grades(spark, d), 10).withColumn("ndcg", F.round("ndcg", 4))
+    return scoring.ndcg(selected(spark, d).select("query", "id", "place"), reviews(spark, d), 10).withColumn("ndcg", F.round("ndcg", 4))
+
+
+@query(f"{HYBRID_SQL}, {REVIEWS_SQL} SELECT query, id, place FROM sel JOIN neg USING (query, id) WHERE place <= 10")
+def forbidden_found(spark, d):
+    """Selected rows that must not be there."""
+    bad = table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id")).distinct()
+    return selected(spark, d).join(bad, "id", "left_semi").select("query", "id", "place")
 
 
 @query("SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, round(median(value), 4) AS median, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import embedding, text, typed
-from ..operators import graph, retrieval, scoring, validation
+from ..operators import graph, index, retrieval, scoring, validation
 from ..sources.tables import edges, nodes, table
+from ..storage import save
 from ..streaming.resume import pending
-from .catalog import GRAPH_SQL, HYBRID_SQL, NODES_SQL, TERMS_SQL, WALK_SQL, _docs, _scored, _searches, query, seeds
+from .catalog import GRAPH_SQL, NODES_SQL, WALK_SQL, near, query, seeds
+from .search import HYBRID_SQL, METHODS, TERMS_SQL, context, docs_of, scored, selected
 
 DIM = 64
 LEXICON = ("widget", "bolt", "gear", "small", "cold")
@@ -43,22 +45,22 @@ def labeled_sections(spark, d):
     return rows.select("p_partkey", "s.label", "s.value")
 
 
-@query(f"WITH {TERMS_SQL} SELECT term, CAST(sum(tf) AS BIGINT) AS n FROM tf WHERE contains(term, ' ') GROUP BY term HAVING sum(tf) >= 10")
+@query(f"WITH {TERMS_SQL} SELECT term, CAST(sum(tf) AS BIGINT) AS n FROM tf WHERE contains(term, ' ') GROUP BY term")
 def bigram_stats(spark, d):
-    found = retrieval.postings(_docs(spark, d)).filter(F.col("term").contains(" "))
-    return found.groupBy("term").agg(F.sum("tf").alias("n")).filter("n >= 10")
+    found = index.index_of(docs_of(spark, d)).postings.filter(F.col("term").contains(" "))
+    return found.groupBy("term").agg(F.sum("tf").alias("n"))
 
 
 @query(f"WITH {TERMS_SQL}, norms AS (SELECT doc_id, sqrt(sum(tf * tf)) AS norm FROM tf GROUP BY 1), dots AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.tf * y.tf) AS dot FROM tf x JOIN tf y ON y.doc_id = x.doc_id + 1 AND y.term = x.term GROUP BY ALL) SELECT p.doc_id AS a, p.doc_id + 1 AS b, round(coalesce(dot / n.norm / m.norm, 0.0), 4) AS cosine FROM documents p JOIN documents q ON q.doc_id = p.doc_id + 1 LEFT JOIN dots ON dots.a = p.doc_id LEFT JOIN norms n ON n.doc_id = dots.a LEFT JOIN norms m ON m.doc_id = dots.b")
 def counter_cosine(spark, d):
     ids = table(spark, d, "documents").select(F.col("doc_id").alias("a"))
     pairs = ids.join(ids.select((F.col("a") - 1).alias("a")), "a").select("a", (F.col("a") + 1).alias("b"))
-    return retrieval.counter_cosine(retrieval.postings(_docs(spark, d)), pairs).withColumn("cosine", F.round("cosine", 4))
+    return retrieval.counter_cosine(index.index_of(docs_of(spark, d)).postings, pairs).withColumn("cosine", F.round("cosine", 4))
 
 
 @query(f"WITH {TERMS_SQL}, s AS (SELECT doc_id AS id, ('0x' || md5(term)[1:8])::BIGINT % {DIM} AS place, CAST(sum(tf * CASE WHEN ('0x' || md5(term)[10:10])::INTEGER % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS v FROM tf GROUP BY ALL) SELECT id, place, round(v / sqrt(sum(v * v) OVER (PARTITION BY id)), 4) AS value FROM s WHERE v <> 0")
 def hash_embedding_md5(spark, d):
-    return embedding.md5_sparse(retrieval.postings(_docs(spark, d)), DIM).withColumn("value", F.round("value", 4))
+    return embedding.md5_sparse(index.index_of(docs_of(spark, d)).postings, DIM).withColumn("value", F.round("value", 4))
 
 
 @query()
@@ -91,7 +93,7 @@ one AS (SELECT other AS id, 1 AS hops, seed_rank, id AS seed, id || step AS path
 two AS (SELECT * FROM one UNION ALL SELECT near.other, 2, seed_rank, seed, path || step FROM one JOIN near USING (id))
 SELECT id, hops, seed, path FROM two QUALIFY row_number() OVER (PARTITION BY id ORDER BY hops, seed_rank, path) = 1""")
 def graph_expand(spark, d):
-    return graph.expand(edges(spark, d), spark.createDataFrame([("SU-4", 1), ("CU-7", 2), ("PT-11", 3)], "id string, seed_rank int"))
+    return graph.expand(graph.steps_of(edges(spark, d)), spark.createDataFrame([("SU-4", 1), ("CU-7", 2), ("PT-11", 3)], "id string, seed_rank int"))
 
 
 @query(f"""{GRAPH_SQL}, {WALK_SQL.format(hops=3)}, c AS (SELECT seed, id, hops FROM walk JOIN nodes USING (id) WHERE hops > 0 AND label IN ('Supplier', 'Nation') AND seed IN ('SU-4', 'CU-7')),
@@ -100,10 +102,11 @@ h AS (SELECT c.seed, c.id, count(*) AS shared FROM c JOIN nb a ON a.id = c.seed
 SELECT seed, c.id, hops, round(least(1, greatest(0, 0.45 * [1.0, 0.6, 0.3][hops] + 0.35 * least(1, ln(1 + degree) / ln(13)) + 0.2 * coalesce(shared, 0) / (z.n + y.n - coalesce(shared, 0)))), 4) AS graph
 FROM c JOIN d USING (id) JOIN z USING (id) JOIN z y ON y.id = c.seed LEFT JOIN h USING (seed, id)""")
 def component_graph(spark, d):
-    links, near = edges(spark, d), seeds(spark, ["SU-4", "CU-7"])
+    links, start = edges(spark, d), seeds(spark, ["SU-4", "CU-7"])
     wanted = nodes(spark, d, ("Supplier", "Nation")).select("id")
-    pairs = graph.walk(links, near, 3).filter("hops > 0").join(wanted, "id", "left_semi")
-    rows = pairs.join(graph.degree(links), "id").join(graph.shared_neighbors(links, pairs), ["seed", "id"])
+    beside = near(spark, d)
+    pairs = save(graph.walk(links, start, 3, beside).filter("hops > 0").join(wanted, "id", "left_semi"))
+    rows = pairs.join(graph.degree(links), "id").join(graph.shared_neighbors(links, pairs, beside), ["seed", "id"])
     return rows.select("seed", "id", "hops", F.round(scoring.graph(F.col("hops"), F.col("degree"), F.col("shared") / F.col("either")), 4).alias("graph"))
 
 
@@ -156,42 +159,45 @@ def component_actionable(spark, d):
 # Connections
 
 
-@query(f"""{HYBRID_SQL}, prof AS (SELECT query, id, rank, list_distinct(list_filter(regexp_extract_all(lower(strip_accents(text)), '[0-9a-z]+'), lambda x: len(x) > 2)) AS x FROM ranked JOIN documents ON doc_id = id WHERE rank <= 50),
-dup AS (SELECT DISTINCT a.query, a.id FROM prof a JOIN prof b ON a.query = b.query AND b.rank < a.rank WHERE len(a.x) > 0 AND len(b.x) > 0 AND len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x)))::DOUBLE >= 0.8),
-cut AS (SELECT query, id, CASE WHEN dup.id IS NULL THEN 0.0 ELSE 0.06 END AS redundancy, round(greatest(0, total - CASE WHEN dup.id IS NULL THEN 0.0 ELSE 0.06 END), 6) AS total FROM ranked LEFT JOIN dup USING (query, id))
-SELECT query, id, redundancy, total, CAST(row_number() OVER (PARTITION BY query ORDER BY total DESC, id) AS INTEGER) AS rank FROM cut""")
+@query(f"{HYBRID_SQL} SELECT query, id, redundancy, total1 AS before, total, rank FROM ranked")
 def redundancy(spark, d):
-    profiles = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(text.tokenize(F.col("text"))).alias("terms"))
-    return scoring.redundancy(_scored(spark, d), profiles).select("query", "id", "redundancy", "total", "rank")
+    rows = scored(spark, d)
+    before = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("weighted") - F.col("penalty"))), 6)
+    return rows.select("query", "id", "redundancy", before.alias("before"), "total", "rank")
 
 
-@query(f"{HYBRID_SQL} SELECT query, id, CASE WHEN channels = 'vector' THEN 'CONNECTED_TO' WHEN lexnorm >= 0.6 AND lexnorm - semantic >= 0.25 THEN 'SHARES_METHOD' WHEN evidence >= 0.8 THEN 'ANTECEDENT_OF' ELSE coalesce(CASE kind WHEN 'en' THEN 'SIMILAR_NEED' WHEN 'de' THEN 'CAN_SUPPORT' WHEN 'fr' THEN 'DOCUMENTS' END, 'RELATED_TO') END AS relation FROM ranked")
+@query(f"{HYBRID_SQL} SELECT query, id, CASE WHEN channels = 'graph' THEN 'CONNECTED_TO' WHEN len(qm) > 0 AND method >= 0.6 AND method - greatest(semantic, domain) >= 0.25 THEN 'SHARES_METHOD' WHEN status = 'F' THEN 'ANTECEDENT_OF' ELSE coalesce(CASE kind WHEN 'en' THEN 'SIMILAR_NEED' WHEN 'de' THEN 'CAN_SUPPORT' WHEN 'fr' THEN 'DOCUMENTS' END, 'RELATED_TO') END AS relation FROM ranked")
 def inferred_relation(spark, d):
-    name = scoring.relation(F.col("kind"), RELATIONS, F.col("evidence") >= 0.8, F.col("lexnorm"), F.col("semantic"), F.col("channels") == "vector")
-    return _scored(spark, d).select("query", "id", name.alias("relation"))
+    return _related(scored(spark, d)).select("query", "id", "relation")
 
 
-@query(f"{HYBRID_SQL}, missed AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank) AS near, row_number() OVER (PARTITION BY query ORDER BY rank DESC) AS far FROM sel WHERE place > 10) SELECT query, id, rank, total, CASE WHEN penalty > 0 THEN 'penalised' WHEN total < 0.3 THEN 'low total' ELSE 'behind the selection' END AS reason FROM missed WHERE near <= 2 OR far = 1")
+def _related(rows):
+    compared = F.when(F.size(text.lexicon_hits(F.col("q_text"), METHODS)) > 0, F.col("method")).otherwise(F.lit(0.0))
+    name = scoring.relation(F.col("kind"), RELATIONS, F.coalesce(F.col("status") == "F", F.lit(False)), compared, F.greatest("semantic", "domain"), F.col("channels") == "graph")
+    return rows.withColumn("relation", name)
+
+
+@query(f"{HYBRID_SQL}, missed AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank) AS ahead, row_number() OVER (PARTITION BY query ORDER BY rank DESC) AS behind FROM sel WHERE place > 10) SELECT query, id, rank, total, CASE WHEN penalty > 0 THEN 'penalised' WHEN total < 0.3 THEN 'low total' ELSE 'behind the selection' END AS reason FROM missed WHERE ahead <= 2 OR behind = 1")
 def discarded(spark, d):
-    rows = _scored(spark, d)
+    rows = scored(spark, d)
     return scoring.discarded(rows, scoring.diversified(rows, 10)).select("query", "id", "rank", "total", "reason")
 
 
-@query(f"""{HYBRID_SQL}, f AS (SELECT sel.query, id, 1 AS position, 'text' AS field, text AS x FROM sel JOIN documents ON doc_id = id WHERE place <= 10 UNION ALL SELECT sel.query, id, 2, 'source', source FROM sel JOIN documents ON doc_id = id WHERE place <= 10 UNION ALL SELECT sel.query, id, 3, 'lang', lang FROM sel JOIN documents ON doc_id = id WHERE place <= 10),
+@query(f"""{HYBRID_SQL}, f AS (SELECT query, id, 1 AS position, 'text' AS field, text AS x FROM sel WHERE place <= 10 UNION ALL SELECT query, id, 2, 'source', source FROM sel WHERE place <= 10 UNION ALL SELECT query, id, 3, 'lang', kind FROM sel WHERE place <= 10),
 g AS (SELECT query, id, position, field, CAST(len(list_intersect(list_distinct(regexp_extract_all(lower(strip_accents(coalesce(x, ''))), '[0-9a-z]+')), (SELECT list(term) FROM q WHERE q.query = f.query))) AS INTEGER) AS hits FROM f)
 SELECT query, id, field, hits, CAST(row_number() OVER (PARTITION BY query, id ORDER BY hits DESC, position) AS INTEGER) AS item FROM g QUALIFY row_number() OVER (PARTITION BY query, id ORDER BY hits DESC, position) <= 2""")
 def evidence_items(spark, d):
-    chosen = scoring.diversified(_scored(spark, d), 10).select("query", "id")
+    chosen = selected(spark, d).select("query", "id")
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang").join(chosen, "id")
     cells = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("field"), F.array_distinct(text.tokenize(F.col(c))).alias("words")) for i, c in enumerate(("text", "source", "lang"), 1)])
-    return scoring.evidence_items(rows.select("query", "id", F.inline(cells)), retrieval.query_terms(_searches(spark)), 2).select("query", "id", "field", "hits", "item")
+    return scoring.evidence_items(rows.select("query", "id", F.inline(cells)), context(spark, d).terms, 2).select("query", "id", "field", "hits", "item")
 
 
-SUMMARY_SQL = f"{HYBRID_SQL}, y AS (SELECT query, count(*) AS found, count(DISTINCT kind) AS kinds, count(*) FILTER (evidence >= 0.8) AS graded, count(*) FILTER (kind = 'en') AS en, count(*) FILTER (kind = 'fr') AS fr, count(*) FILTER (g.quality = 1) AS quality, max(total) AS top FROM sel LEFT JOIN (SELECT doc_id AS id, max(quality) AS quality FROM labels GROUP BY 1) g USING (id) WHERE place <= 10 GROUP BY query)"
+SUMMARY_SQL = f"{HYBRID_SQL}, y AS (SELECT query, count(*) AS found, count(DISTINCT kind) AS kinds, count(*) FILTER (evidence >= 0.8) AS graded, count(*) FILTER (kind = 'en') AS en, count(*) FILTER (kind = 'fr') AS fr, count(*) FILTER (quality = 1) AS quality, max(total) AS top FROM sel WHERE place <= 10 GROUP BY query)"
 
 
 def _summary(spark, d):
-    rows = scoring.diversified(_scored(spark, d), 10)
+    rows = selected(spark, d)
     return rows.groupBy("query").agg(F.count("*").alias("found"), F.countDistinct("kind").alias("kinds"), F.count_if(F.col("evidence") >= 0.8).alias("graded"), F.count_if(F.col("kind") == "en").alias("en"), F.count_if(F.col("kind") == "fr").alias("fr"), F.count_if(F.col("quality") == 1).alias("quality"), F.max("total").alias("top"))
 
 
@@ -205,10 +211,12 @@ def opportunities(spark, d):
     return scoring.opportunities(_summary(spark, d), RULES, "NEW_RESEARCH")
 
 
-@query(f"{HYBRID_SQL} SELECT query, id, format('{{}}: total {{}}%, meaning {{}}%, evidence {{}}%; confidence {{}}', kind, round(total * 100)::INTEGER, round(semantic * 100)::INTEGER, round(evidence * 100)::INTEGER, CASE WHEN semantic < 0.45 OR total < 0.55 THEN 'low' WHEN total >= 0.7 THEN 'high' ELSE 'medium' END) AS explanation FROM ranked")
+@query(f"{HYBRID_SQL} SELECT query, id, format('{{}}: total {{}}%, meaning {{}}%, evidence {{}}%; confidence {{}}', kind, round(total * 100)::INTEGER, round(semantic * 100)::INTEGER, round(evidence * 100)::INTEGER, confidence) AS explanation FROM ranked JOIN level USING (query)")
 def explanation_text(spark, d):
-    sentence = scoring.explanation(F.col("kind"), F.col("semantic"), F.col("evidence"), F.col("total"), scoring.confidence(F.col("semantic"), F.col("total")))
-    return _scored(spark, d).select("query", "id", sentence.alias("explanation"))
+    rows = scored(spark, d)
+    level = scoring.diversified(rows, 1).select("query", scoring.confidence(F.col("semantic"), F.col("total")).alias("confidence"))
+    sentence = scoring.explanation(F.col("kind"), F.col("semantic"), F.col("evidence"), F.col("total"), F.col("confidence"))
+    return rows.join(F.broadcast(level), "query").select("query", "id", sentence.alias("explanation"))  # a row for each search
 
 
 @query(f"WITH {NODES_SQL} SELECT id, title FROM nodes WHERE label = 'Supplier' ORDER BY id LIMIT 20")

@@ -55,6 +55,20 @@ def edges(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = tuple(EDGES
     return reduce(DataFrame.unionByName, parts)
 
 
+def document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, rel, dst, source, row, field): a document describes the order of its number and cites the document of half its number.
+
+    Edges whose other end is missing are left out, and a document does not cite itself.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    row = (F.col("doc_id") + 2).alias("row")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    one = docs.join(orders, F.col("doc_id") == F.col("o_orderkey")).select(identifier("DO", "doc_id").alias("src"), F.lit("DESCRIBES").alias("rel"), identifier("OR", "o_orderkey").alias("dst"), row, F.lit("order").alias("field"))
+    half = docs.filter("doc_id > 0").withColumn("cited", F.expr("doc_id div 2"))
+    two = half.join(docs.select(F.col("doc_id").alias("cited")), "cited", "left_semi").select(identifier("DO", "doc_id").alias("src"), F.lit("CITES").alias("rel"), identifier("DO", "cited").alias("dst"), row, F.lit("cited").alias("field"))
+    return one.unionByName(two).withColumn("source", F.lit("documents")).select("src", "rel", "dst", "source", "row", "field")
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Every column a string, quoted fields over several lines."""
     return spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)

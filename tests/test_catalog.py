@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import embedding, text, typed, vectors
-from tessera.operators import graph, scoring, validation
+from tessera.operators import evidence, graph, index, retrieval, scoring, validation
 from tessera.plans import catalog
 from tessera.sources.tables import read_csv, read_json_lines
 from tessera.streaming.resume import follow
@@ -102,7 +102,7 @@ def test_sections_continue_and_drop_what_comes_before(spark):
 
 def test_expand_returns_a_seed_by_going_back_and_prefers_the_first_seed(spark):
     edges = spark.createDataFrame([("a", "r", "m"), ("b", "r", "m"), ("m", "r", "z")], "src string, rel string, dst string")
-    got = {r["id"]: (r["hops"], r["seed"], r["path"]) for r in graph.expand(edges, spark.createDataFrame([("b", 1), ("a", 2)], "id string, seed_rank int")).collect()}
+    got = {r["id"]: (r["hops"], r["seed"], r["path"]) for r in graph.expand(graph.steps_of(edges), spark.createDataFrame([("b", 1), ("a", 2)], "id string, seed_rank int")).collect()}
     assert got["m"] == (1, "b", "b -r-> m") and got["z"] == (2, "b", "b -r-> m -r-> z") and got["b"][0] == 2
 
 
@@ -123,3 +123,98 @@ def test_stream_embeds_only_new_texts(spark, tmp_path):
         follow(stream, embed, place, str(tmp_path / "marks")).awaitTermination(120)
     got = sorted((r["id"], r["text"] or "") for r in spark.read.parquet(place).collect())
     assert got == [("1", "x"), ("2", ""), ("2", "new")]
+
+
+def test_blank_references_are_none(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, "  "), (3, ""), (4, None), (5, "ghost")], "id long, ref string")
+    assert [r["id"] for r in validation.broken_references(rows, "ref", spark.createDataFrame([("x",)], "k string"), "k").collect()] == [5]
+
+
+def test_missed_labels_cost_ndcg_and_hits(spark):
+    chosen = spark.createDataFrame([(1, 7, 1), (1, 8, 2)], "query int, id long, place int")
+    labels = spark.createDataFrame([(1, 7, 1), (1, 20, 2), (1, 21, 2), (2, 7, 1)], "query int, id long, grade int")
+    assert scoring.ndcg(chosen, labels, 5).first()["ndcg"] == pytest.approx(1 / (3 + 3 / math.log2(3)))
+    found = {r["query"]: r for r in scoring.hit_rate(chosen, labels, 2).collect()}
+    assert (found[1]["hits"], found[1]["expected"], found[2]["hits"]) == (1, 3, 0) and found[1]["ceiling"] == pytest.approx(2 / 3)
+
+
+def test_redundancy_compares_counts_of_one_kind(spark):
+    rows = spark.createDataFrame([(1, 1, "a", 0.9, 1), (1, 2, "a", 0.89, 2), (1, 3, "b", 0.88, 3), (1, 4, "a", 0.5, 4)], "query int, id long, kind string, total double, rank int")
+    terms = {1: {"x": 2, "y": 2}, 2: {"x": 2, "y": 2}, 3: {"x": 2, "y": 2}, 4: {"x": 2, "y": 1}}  # 4 shares all words with 1, at a cosine of 0.949
+    counts = spark.createDataFrame([(i, t, n) for i, c in terms.items() for t, n in c.items()], "id long, term string, tf long")
+    got = {r["id"]: (r["redundancy"], r["rank"]) for r in scoring.redundancy(rows, counts).collect()}
+    assert got == {1: (0.0, 1), 2: (0.06, 3), 3: (0.0, 2), 4: (0.06, 4)}
+    apart = counts.filter("id <> 4").unionByName(spark.createDataFrame([(4, "x", 5), (4, "y", 1)], counts.schema))  # 0.832
+    assert {r["id"]: r["redundancy"] for r in scoring.redundancy(rows, apart).collect()}[4] == 0.0
+
+
+def test_penalties_are_scaled_together(spark):
+    row = spark.createDataFrame([(True, 0.1, 0.2, 0, 0.0, 0.0, True), (False, 0.9, 0.2, 2, 0.0, 0.5, True), (False, 0.9, 0.3, 1, 0.6, 0.0, False)], "i boolean, e double, m double, n int, p double, d double, a boolean")
+    parts = scoring.penalties(*[F.col(c) for c in "iemnpda"])
+    got = [tuple(r) for r in row.select(*parts.values()).collect()]
+    scale = 0.35 / 0.43
+    assert got[0] == pytest.approx([round(x * scale, 4) for x in (0.15, 0.10, 0.08, 0.10)])
+    assert got[1] == (0, 0, 0, 0) and got[2] == (0, 0, 0, 0)
+
+
+def test_confidence_of_an_empty_response_is_none(spark):
+    row = spark.createDataFrame([(None, None), (0.9, 0.8), (0.9, 0.6), (0.4, 0.9)], "m double, t double")
+    assert [r[0] for r in row.select(scoring.confidence(F.col("m"), F.col("t"))).collect()] == ["none", "high", "medium", "low"]
+
+
+def test_synonyms_fire_by_word_and_by_phrase(spark):
+    row = spark.createDataFrame([(["a", "idiot"],), (["new", "york", "zz"],), (["z"],), ([],)], "t array<string>")
+    groups = (("idiot", "moron"), ("big apple", "new x"))
+    got = [r[0] for r in row.select(retrieval.expanded(F.col("t"), groups)).collect()]
+    assert got == [["a", "idiot", "moron"], ["new", "york", "zz"], ["z"], []]
+    row = spark.createDataFrame([(["x", "new"],)], "t array<string>")
+    assert row.select(retrieval.expanded(F.col("t"), groups)).first()[0] == ["x", "new", "apple", "big", "big apple", "new x"]
+
+
+def test_bad_identifiers_and_relationships_raise():
+    assert validation.identifier(" a ") == "a" and validation.relationship_types(["A_1", "B", "A_1"]) == ["A_1", "B"]
+    for bad in (lambda: validation.identifier("  "), lambda: validation.identifier(None), lambda: validation.relationship_types("AB"), lambda: validation.relationship_types(["a-b"])):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_facts_are_given_once_a_record_and_subgraphs_are_closed(spark):
+    edges = spark.createDataFrame([("a", "R", "b", "f", 2, "x"), ("a", "R", "b", "f", 2, "x"), ("c", "R", "a", "f", 3, "x"), ("b", "R", "z", "f", 4, "x")], "src string, rel string, dst string, source string, row long, field string")
+    chosen = spark.createDataFrame([(1, 1, "a"), (1, 2, "q")], "query int, id long, node string")
+    found = evidence.facts(chosen, edges)
+    assert sorted((r["direction"], r["other"], r["fact"]) for r in found.collect()) == [("INCOMING", "c", "f:3:x"), ("OUTGOING", "b", "f:2:x")]
+    r = evidence.coverage(chosen, found).first()
+    assert (r["selected"], r["with_facts"], r["coverage"], r["all_traceable"]) == (2, 1, 0.5, False)
+    rows = spark.createDataFrame([(1, "a", 1, "SIM", ["a", "b"]), (1, "q", 2, "SIM", None)], "query int, node string, rank int, relation string, bridge array<string>")
+    got = evidence.subgraph(rows, spark.createDataFrame([(1, "s")], "query int, source string"), edges, 3)
+    assert sorted((r["src"], r["dst"], r["origin"]) for r in got.collect()) == [("s", "a", "INFERRED"), ("s", "q", "INFERRED")]
+
+
+def test_index_is_kept_until_a_file_changes(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    schema = "id long, kind string, text string"
+    spark.createDataFrame([(1, "a", "some words here"), (2, "a", None)], schema).write.parquet(path)
+    read = lambda: spark.read.parquet(path)
+    one = index.index_of(read())
+    assert index.index_of(read()) is one and one.n == 2 and one.average == 2.0
+    asked = spark.createDataFrame([(1, "words"), (1, "absent")], "query int, term string")
+    assert [(r["id"], r["df"]) for r in index.asked_postings(one, asked).collect()] == [(1, 1)]
+    plan = index.asked_postings(one, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan
+    spark.createDataFrame([(3, "b", "more")], schema).write.mode("append").parquet(path)
+    assert index.index_of(read()).n == 3
+
+
+def test_scores_add_up_and_ranks_descend(spark):
+    from tessera.plans import search
+
+    rows = search.scored(spark, DATA).collect()
+    assert abs(sum(search.WEIGHTS.values()) - 1) < 1e-9 and rows
+    for r in rows:
+        assert all(-1e-9 <= r[s] <= 1 + 1e-9 for s in search.WEIGHTS)
+        base = sum(w * r[s] for s, w in search.WEIGHTS.items())
+        assert r["total"] == pytest.approx(max(0.0, round(max(0.0, min(1.0, base - r["penalty"])), 6) - r["redundancy"]), abs=2e-6)
+    for q in {r["query"] for r in rows}:
+        mine = sorted((r for r in rows if r["query"] == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, len(mine) + 1)) and all(a["total"] >= b["total"] for a, b in zip(mine, mine[1:], strict=False))
+        assert {c for r in mine for c in r["channels"].split("+")} == {"graph", "lexical", "vector"}
