@@ -17,8 +17,9 @@ from .common import HOT_SHARE, map_arrow, partitions, text_or_empty
 
 #: Bytes the rolling hash sees, smallest block size, most and least wanted characters of a signature.
 WINDOW, LEAST_BLOCK, LONGEST, SHORTEST = 7, 3, 64, 32
-#: Bytes of the input, as stored, that a range of documents should hold; a task gets about four ranges.
-BUCKET_BYTES = 1 << 21
+#: Bytes of the input, as stored, that a range of documents should hold, and ranges at most, for the driver knows the first row of
+#: each; a task gets about eight ranges and streams them, so longer ranges cost it time and no memory.
+BUCKET_BYTES, MOST_BUCKETS = 1 << 20, 100_000
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 
@@ -124,7 +125,7 @@ def _buckets(docs: DataFrame) -> int:
     """As many ranges as keep one near BUCKET_BYTES by the size that Spark knows of the input, and four to a task at least."""
     stats = docs.select("doc_id", "text")._jdf.queryExecution().optimizedPlan().stats()
     known = int(str(stats.sizeInBytes()))
-    return max(4 * partitions(docs.sparkSession), min(-(-known // BUCKET_BYTES), docs.count() // 64))
+    return max(4 * partitions(docs.sparkSession), min(-(-known // BUCKET_BYTES), docs.count() // 64, MOST_BUCKETS))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -163,7 +164,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     to = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("bucket"), F.lit(False).alias("own"))))
     rows = rows.select("doc_id", "tie", "text", F.explode(to).alias("to")).select("to.bucket", "to.own", "doc_id", "tie", "text")
     order = [F.desc("bucket"), F.desc("own"), F.desc_nulls_last("doc_id"), F.desc("tie")]
-    return rows.repartition(max(partitions(spark), n // 4), "bucket").sortWithinPartitions(*order)
+    return rows.repartition(max(partitions(spark), n // 8), "bucket").sortWithinPartitions(*order)
 
 
 def edits(docs: DataFrame) -> DataFrame:
