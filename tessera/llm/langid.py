@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import attach, map_arrow, row_hashes, save, unused
 
 #: Labelled rows per language that the text model is fitted on at most, and least for a class of its own; buckets of byte trigrams.
-SAMPLE, FEWEST, BUCKETS = 3_000, 20, 1 << 15
+SAMPLE, FEWEST, BUCKETS = 3_000, 5, 1 << 15
 #: Correlation of the trigrams of one text, pseudo-rows of the parent level, least confidence, least vote of a text.
 RHO, KAPPA, ACCEPT, VOTE = 1 / 64, 20.0, 0.5, 1e-3
 #: The class of all declared languages with fewer rows than FEWEST, and that of a table that declares none.

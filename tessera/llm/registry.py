@@ -8,6 +8,7 @@ QUERIES = {
     "language_of_documents": langid.documents_language,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_pack": packing.op4_pack,
+    "packed_in_limits": packing.packed_in_limits,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_simhash": simhash.op6_simhash,
     "op7_pu_quality": quality.op7_pu_quality,

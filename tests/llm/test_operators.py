@@ -526,7 +526,7 @@ def test_rare_languages_are_one_class_and_none_gives_unknown(spark):
     rng = random.Random(3)
     letters = {"en": "thewandofris", "de": "schungeidrpf", **{c: "zkqvxyjw" for c in ("cs", "pl", "sk")}}
     text = lambda code: " ".join("".join(rng.choice(letters[code]) for _ in range(rng.randint(2, 8))) for _ in range(40))
-    rows = [(text(c), c) for c in ["en", "de"] * 60 + ["cs", "pl", "sk"] * 8]
+    rows = [(text(c), c) for c in ["en", "de"] * 60 + ["cs", "pl", "sk"] * 4]
     frame = spark.createDataFrame(rows, "text string, declared string").withColumns({c: F.lit(None).cast("string") for c in ("host", "domain", "suffix")})
     got = langid.identify(frame.withColumn("code", F.col("declared"))).collect()
     assert all(r["language"] == (r["code"] if r["code"] in ("en", "de") else "other") and r["accepted"] for r in got)
