@@ -25,7 +25,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id; see simhash.keep_one."""
+    """One document of each group of near-duplicates by SimHash, that with the smallest doc_id; see simhash.keep_one."""
     return simhash.keep_one(docs)
 
 

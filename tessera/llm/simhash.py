@@ -1,7 +1,8 @@
-"""SimHash near-dedup: fingerprints of word shingles, pigeonhole blocks, Hamming check, connected components."""
+"""SimHash near-dedup: fingerprints of word shingles, blocks of equal bits, Hamming check, connected components."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,13 +34,18 @@ def fingerprint(text: bytes, shingle: int, words: int = 1) -> list[int]:
         starts = [0, *(gaps[: len(gaps) - shingle + 1] + 1).tolist()]
         ends = [*gaps[shingle - 1 :].tolist(), len(norm)]
         hashes = [xxhash.xxh64_intdigest(norm[i:j], SEED) for i, j in zip(starts, ends, strict=True)]
+    return majority(np.array(hashes, "<u8"), words).tolist()
+
+
+def majority(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The bits of ``fingerprint`` over these hashes, a signed number a word."""
     ones = np.zeros((words, 64), np.int64)
     for at in range(0, len(hashes), 1 << 14):  # bounded memory for very long texts
-        part = np.array(hashes[at : at + (1 << 14)], "<u8")
+        part = hashes[at : at + (1 << 14)]
         for w in range(words):
             mixed = part if not w else _mix(part + np.uint64(w * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
             ones[w] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<i8")[:, 0]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -158,10 +164,10 @@ def group(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
     return attach(fps, save(facts), "fp", [F.col("doc_id")]).drop("n")
 
 
-#: Near-duplicates by similarity: bands of a MinHash signature and hashes of a band. A pair of Jaccard similarity s
-#: agrees on a band, and so is a candidate, with probability 1 - (1 - s ** DEPTH) ** BANDS: 0.999997 at 0.8.
-BANDS, DEPTH = 32, 5
-_DRAWN = np.random.default_rng(SEED).integers(0, (1 << 64) - 1, (2, BANDS * DEPTH, 1), np.uint64, endpoint=True) | np.uint64(1)
+#: Near-duplicates by similarity: 64-bit words of a set's fingerprint; rows that a block's bucket holds, about; rows of a
+#: bucket from which on it is dealt out over several tasks; misses of a pair by all blocks, as a power of 1/e.
+WORDS, BUCKET, SPLIT, MISS = 4, 2048, 6144, 9
+FP = [f"f{w}" for w in range(WORDS)]
 
 
 def shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -177,17 +183,26 @@ def shingles(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(norm[i:j], SEED) for i, j in zip(starts, ends, strict=True)], np.uint64))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One key a band of the MinHash signature of a set of hashes; none for the empty set."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    low = np.full(BANDS * DEPTH, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(hashes), 512):
-        low = np.minimum(low, (hashes[at : at + 512] * _DRAWN[0] + _DRAWN[1]).min(1))
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for values in low.reshape(BANDS, DEPTH).T:
-        keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + values)
-    return keys.view(np.int64)
+def differing(similarity: float) -> float:
+    """Share of the bits in which fingerprints of sets of this Jaccard similarity (the bound, at equal sizes) differ on average."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+def blocks(similarity: float, count: int) -> np.ndarray:
+    """Masks (block, word) of bits drawn by a fixed seed. Fingerprints equal in one block's bits are compared.
+
+    So many bits a block that unlike fingerprints, ``count`` in all, fill its buckets with about BUCKET rows; so many
+    blocks that a pair of this similarity agrees in none with probability exp(-MISS), at the mean distance.
+    """
+    width = min(32, max(4, (count // BUCKET).bit_length() - 1))
+    number = math.ceil(MISS / (1 - differing(similarity)) ** width)
+    rng = np.random.default_rng(SEED)
+    per = 64 * WORDS // width
+    bits = np.concatenate([rng.permutation(64 * WORDS)[: per * width].reshape(per, width) for _ in range(-(-number // per))])[:number]
+    masks = np.zeros((number, WORDS), np.uint64)
+    for i in range(width):
+        masks[np.arange(number), bits[:, i] // 64] |= np.uint64(1) << (bits[:, i] % 64).astype(np.uint64)
+    return masks.view(np.int64)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -196,18 +211,95 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, h1, h2, s1, s2, size, bands): 128 bits that name the text's set of shingles, its size and its band keys."""
+    """(doc_id, h1, h2, s1, s2, size, f0, ...): 128 bits that name the text's set of shingles, its size and its fingerprint."""
+    names = ["s1", "s2", "size", *FP]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 sets = [shingles(t or b"", shingle) for t in b.column(3).to_pylist()]
-                names = [pa.array([xxhash.xxh64_intdigest(x.tobytes(), i) for x in sets], pa.uint64()).view(pa.int64()) for i in (1, 2)]
-                columns = [*b.columns[:3], *names, pa.array(map(len, sets), pa.int64()), _lists([bands(x) for x in sets])]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h1", "h2", "s1", "s2", "size", "bands"])
+                named = [pa.array([xxhash.xxh64_intdigest(x.tobytes(), i) for x in sets], pa.uint64()).view(pa.int64()) for i in (1, 2)]
+                fps = np.stack([majority(x, WORDS) for x in sets])
+                columns = [*b.columns[:3], *named, pa.array(map(len, sets), pa.int64()), *(pa.array(fps[:, w]) for w in range(WORDS))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h1", "h2", *names])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "h1", "h2", F.col("text").cast("binary").alias("text"))
-    return map_arrow(rows, run, "doc_id long, h1 long, h2 long, s1 long, s2 long, size long, bands array<long>")
+    return map_arrow(rows, run, ", ".join(f"{c} long" for c in ["doc_id", "h1", "h2", *names]))
+
+
+def close_rows(fps: np.ndarray, sizes: np.ndarray, groups: np.ndarray, similarity: float, star: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, differing bits), i < j, for rows of different groups whose fingerprints may belong to sets of this similarity, some at a time.
+
+    Fingerprints may differ in 4.5 standard deviations more bits than the mean, five in the first word, which is looked
+    at first. All such pairs; with ``star``, a row meets the first it is close to and is left out from then on.
+    """
+    p = differing(similarity)
+    near, far = (int(n * p + z * math.sqrt(n * p * (1 - p))) for n, z in ((64, 5), (64 * WORDS, 4.5)))
+    fps, left = fps.view(np.uint64), np.arange(len(fps))
+    while len(left) > 1 and (star or len(np.unique(groups[left])) > 1):
+        top = left[:128]
+        i, j = np.nonzero(np.bitwise_count(fps[top, 0][:, None] ^ fps[left, 0][None, :]) <= near)
+        i, j = top[i], left[j]
+        some = (i < j) & (groups[i] != groups[j]) & (np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]))
+        i, j = i[some], j[some]
+        bits = np.bitwise_count(fps[i] ^ fps[j]).sum(1, dtype=np.int64)
+        i, j, bits = i[bits <= far], j[bits <= far], bits[bits <= far]
+        left = left[128:]
+        if star:
+            j, first = np.unique(j, return_index=True)  # rows come in order, so the first is the smallest
+            i, bits, left = i[first], bits[first], np.setdiff1d(left, j, assume_unique=True)
+        yield i, j, bits
+
+
+def _partners(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """(node, others) of the pairs (a, b), each on both sides."""
+    node, other = np.concatenate([a, b]), np.concatenate([b, a])
+    order = np.argsort(node, kind="stable")
+    nodes, starts = np.unique(node[order], return_index=True)
+    ends = pa.array(np.append(starts, len(node)).astype(np.int32))
+    return pa.table([pa.array(nodes), pa.ListArray.from_arrays(ends, pa.array(other[order]))], names=["node", "others"])
+
+
+def _met(rows: DataFrame, masks: np.ndarray, similarity: float, star: bool) -> DataFrame:
+    """(node, others): the rows (node, size, root, fingerprint) that share a block's bits with it and pass ``close_rows``, on both sides of a pair.
+
+    A bucket of more than SPLIT rows is dealt out over several tasks. With ``star`` each of its parts stands for itself,
+    what that leaves meets later, and of a row's pairs with smaller ones the closest is returned. Else the rows of a
+    bucket's largest group go to one part each and the others to all parts, so that every pair of different groups meets;
+    it is returned by the first block in which it agrees. Lists keep a row a node where each of a group is like each.
+    """
+    shared = [F.struct(F.lit(i).alias("block"), F.xxhash64(*[F.col(c).bitwiseAND(F.lit(x)) for c, x in zip(FP, m, strict=True)]).alias("part")) for i, m in enumerate(masks.tolist())]
+    rows = rows.select("node", "size", "root", *FP, F.explode(F.array(*shared)).alias("at")).select("node", "size", "root", *FP, "at.block", F.col("at.part").alias("key"))
+    hot = save(rows.groupBy("block", "key").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT).withColumn("parts", F.ceil(F.col("n") / SPLIT).cast("int")))
+    if not star:
+        groups = rows.join(F.broadcast(hot), ["block", "key"]).groupBy("block", "key", "parts", "root").agg(F.count("*").alias("n"))
+        hot = save(groups.groupBy("block", "key", "parts").agg(F.max_by("root", F.struct("n", "root")).alias("top")))
+    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = F.lit(True) if star else F.col("root") == F.col("top")
+    part = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(dealt, F.array(mine)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = rows.join(F.broadcast(hot), ["block", "key"], "left").withColumn("part", F.explode(part)).select("block", "key", "part", dealt.cast("int").alias("dealt"), "node", "size", "root", *FP)
+
+    def run(table: pa.Table) -> pa.Table:
+        t = {c: table.column(c).to_numpy() for c in table.column_names}
+        order = np.argsort(t["node"])
+        t = {c: x[order] for c, x in t.items()}
+        fps, found = np.stack([t[c] for c in FP], axis=1), [[np.zeros(0, np.int64)] * 3]
+        for i, j, bits in close_rows(fps, t["size"], t["node"] if star else t["root"], similarity, star):
+            if not star:
+                new = np.full(len(i), True) if not t["part"][0] else (t["dealt"][i] == 1) | (t["dealt"][j] == 1)
+                for mask in masks[: t["block"][0]]:
+                    new &= ((fps[i] ^ fps[j]) & mask).any(1)
+                i, j, bits = i[new], j[new], bits[new]
+            found.append([t["node"][i], t["node"][j], bits])
+        a, b, bits = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table([a, b, bits], names=["a", "b", "bits"]) if star else _partners(a, b)
+
+    grouped = rows.groupBy("block", "key", "part")
+    if not star:
+        return grouped.applyInArrow(run, "node long, others array<long>").groupBy("node").agg(F.flatten(F.collect_list("others")).alias("others"))
+    pairs = grouped.applyInArrow(run, "a long, b long, bits long").groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select("x.a", "b")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("others"))
 
 
 def _bags(docs: DataFrame, wanted: DataFrame, shingle: int, bound: int = 500_000) -> DataFrame:
@@ -224,64 +316,74 @@ def _bags(docs: DataFrame, wanted: DataFrame, shingle: int, bound: int = 500_000
     return map_arrow(rows.select("node", F.col("text").cast("binary").alias("text")), run, "node long, bag array<long>").dropDuplicates(["node"])
 
 
-def _alike(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (a, b) of nodes whose sets have at least this Jaccard similarity, which is exact."""
-    pairs = save(pairs.distinct())
-    met = pairs
-    for x, y in (("a", "b"), ("b", "a")):
-        counts = pairs.groupBy(F.col(x).alias("node")).agg(F.count("*").alias("n"))
-        facts = save(bags.join(counts, "node").select(F.col("node").alias(x), F.col("bag").alias(f"{x}_bag"), "n"))
-        met = attach(met, facts, x, [F.col(y)]).drop("n")
-    both = F.size(F.array_intersect("a_bag", "b_bag"))
-    return met.filter(both / (F.size("a_bag") + F.size("b_bag") - both) >= similarity).select("a", "b")
+def _alike(met: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, of the classes (node, others) whose sets have at least this Jaccard similarity, which is exact.
+
+    Nodes are hashed into groups, and a set goes once to each pair of groups that has one of its pairs.
+    """
+    met = save(met)
+    wanted = save(met.select("node").join(classes.select("node", "size", "least.doc_id", "least.h1", "least.h2"), "node"))
+    bags = save(_bags(docs, wanted.drop("size"), shingle))
+    groups = max(8, (wanted.agg(F.sum("size")).first()[0] or 0) >> 22)  # 32 MB of hashes each
+    of = lambda node: F.pmod(F.xxhash64(node), F.lit(groups)).cast("int")
+    rows = met.join(bags, "node").withColumn("mine", of("node")).withColumn("theirs", F.explode(F.array_distinct(F.transform("others", of))))
+    some = F.filter("others", lambda x: (x > F.col("node")) & (of(x) == F.col("theirs")))
+    rows = rows.select(F.least("mine", "theirs").alias("low"), F.greatest("mine", "theirs").alias("high"), "node", "bag", some.alias("others"))
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_numpy()
+        order = np.argsort(nodes)
+        bags, others = table.column("bag").combine_chunks(), table.column("others").combine_chunks()
+        bag = lambda i: bags[int(i)].values.to_numpy()
+        found = [[np.zeros(0, np.int64)] * 2]
+        for i, node in enumerate(nodes):
+            wanted = others[i].values.to_numpy()
+            for at in range(0, len(wanted), 1000):
+                b = wanted[at : at + 1000]
+                theirs = [bag(k) for k in order[np.searchsorted(nodes, b, sorter=order)]]
+                mine = np.sort(bag(i))
+                every, sizes = np.concatenate(theirs), np.array([len(x) for x in theirs])
+                spots = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+                both = np.add.reduceat((mine[spots] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+                like = b[both / (len(mine) + sizes - both) >= similarity]
+                found.append([np.full(len(like), node), like])
+        return pa.table([np.concatenate(x) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    return save(rows.groupBy("low", "high").applyInArrow(run, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, h1, h2, stays) of saved rows: of each group of near copies by word shingles, the row that stays.
 
     ``docs`` has doc_id, text and two hashes of the row. Rows with equal sets of shingles are one class, numbered by its
-    smallest row. Classes that share a band of their MinHash signatures are candidates (see BANDS), and candidates whose
-    sets have the wanted Jaccard similarity are linked. First, as long as that takes many away, every class meets the
-    smallest one in each of its bands; a class linked to a smaller one has its group and leaves these rounds, so a family
-    of near copies costs rows in proportion to its size. Then, in each band, all classes meet those of other groups, also
-    the ones that left, so the groups are the components of all linked pairs of candidates. The smallest row
-    of a group's smallest class stays.
+    smallest row. Classes whose SimHash fingerprints agree in all bits of a block (see ``blocks``) and differ in few bits
+    overall are candidates, and candidates whose sets have the wanted Jaccard similarity are linked. First, as long as
+    that takes many away, every class meets the smallest one close to it in each of its buckets; a class linked to a
+    smaller one has its group and leaves these rounds, so a family of near copies costs rows in proportion to its size.
+    Then, in each bucket, all classes meet those of other groups, also the ones that left, so the groups are the
+    components of all linked pairs of candidates. The smallest row of a group's smallest class stays.
     """
     fps = save(signatures(docs, shingle))
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h1", "h2")
-    classes = fps.groupBy("s1", "s2").agg(F.min(row).alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    classes = fps.groupBy("s1", "s2").agg(F.min(row).alias("least"), *[F.first(c).alias(c) for c in ("size", *FP)])
     classes = save(ordered(classes, [F.col("least")], "node"))
-    rows = classes.select(F.explode("bands").alias("key"), "node", "size")
-    shared = save(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    met = save(attach(rows, shared, "key", [F.col("node")]).filter("n > 1").select("key", "node", "size"))
-    wanted = met.select("node").distinct().join(classes.select("node", "least.doc_id", "least.h1", "least.h2"), "node")
-    bags = save(_bags(docs, save(wanted), shingle))
-    fits = F.least("a_size", "b_size") / F.greatest("a_size", "b_size") >= similarity  # or no overlap is enough
-    left, found, count = met, [], classes.count()
+    count = classes.count()
+    masks = blocks(similarity, count)
+    rows = classes.filter("size > 0").select("node", "size", *FP)
+    alike = lambda pairs: _alike(pairs, docs, classes, shingle, similarity)
+    left, links = rows, None
     for _ in range(5):  # how many rounds run decides what the last step costs, not what it links
-        first = save(left.groupBy("key").agg(F.min(F.struct("node", "size")).alias("pivot"), F.count("*").alias("n")).filter("n > 1"))
-        star = attach(left, first, "key", [F.col("node")]).filter(F.col("pivot.node") < F.col("node"))
-        star = star.select(F.col("pivot.node").alias("a"), F.col("node").alias("b"), F.col("pivot.size").alias("a_size"), F.col("size").alias("b_size"))
-        links = save(_alike(star.filter(fits).select("a", "b"), bags, similarity))
-        found.append(links)
-        gone = save(links.select(F.col("b").alias("node")).distinct())
+        found = alike(_met(left.withColumn("root", F.col("node")), masks, similarity, True))
+        links = found if links is None else links.unionByName(found)
+        gone = save(found.select(F.col("b").alias("node")).distinct())
         absorbed = gone.count()
-        left = save(left.join(gone, "node", "left_anti"))
-        if absorbed * 100 <= count:
+        if absorbed * 5 <= count:
             break
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
+        left = save(left.join(gone, "node", "left_anti"))
     roots = save(components(links))
-    rooted = met.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    mixed = save(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high"))
-    rooted = save(attach(rooted, mixed, "key", [F.col("node")]).filter("low < high").select("key", "node", "size", "root"))
-    sides = save(rooted.select("key", "root").distinct())  # groups meet first, so that those of one group never do
-    pairs = sides.withColumnRenamed("root", "a_root").join(sides.withColumnRenamed("root", "b_root"), "key").filter("a_root < b_root")
-    for x in ("a", "b"):
-        pairs = pairs.join(rooted.select("key", F.col("root").alias(f"{x}_root"), F.col("node").alias(x), F.col("size").alias(f"{x}_size")), ["key", f"{x}_root"])
-    links = links.unionByName(_alike(pairs.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), bags, similarity))
-    below = save(components(save(links))).filter("node <> root").select("node").distinct()
+    rooted = save(rows.join(roots, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), *FP))
+    links = links.unionByName(alike(_met(rooted, masks, similarity, False)))
+    below = save(components(links)).filter("node <> root").select("node").distinct()
     tops = classes.join(below, "node", "left_anti").select("least.doc_id", "least.h1", "least.h2")
     same = [fps["doc_id"].eqNullSafe(tops["doc_id"]), fps["h1"] == tops["h1"], fps["h2"] == tops["h2"]]
     return save(fps.join(tops.withColumn("stays", F.lit(True)), same, "left").select(fps["doc_id"], fps["h1"], fps["h2"], F.coalesce("stays", F.lit(False)).alias("stays")))

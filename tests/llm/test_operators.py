@@ -344,6 +344,49 @@ def test_keep_one_joins_copies_through_their_original(spark):
     assert {r["doc_id"] for r in got.collect()} == {100 * i for i in range(6)}
 
 
+def near_copies(seed, count):
+    """Rows of ``count`` texts, each with a copy of similarity 0.8 to 0.96 behind it, and one family of 60 near copies."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(count):
+        base = [f"w{i}x{rng.randrange(10**9)}" for _ in range(300)]
+        rows += [(len(rows) + j, " ".join(x), "en", "s", 1) for j, x in enumerate((base, edited(rng, base, ["other"], 0.8, 0.96)))]
+    base = [f"v{rng.randrange(10**9)}" for _ in range(300)]
+    return rows + [(len(rows) + j, " ".join([*base[:j], f"y{j}", *base[j + 1 :]]), "en", "s", 1) for j in range(60)]
+
+
+def test_near_duplicates_come_from_fingerprints(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows = near_copies(5, 20)
+    frame = spark.createDataFrame(rows, DOCS)
+    assert {r["doc_id"] for r in corpus_pipeline.unique(spark, frame, "").collect()} == {*range(0, 40, 2), 40}
+    monkeypatch.setattr(simhash, "blocks", lambda *_: np.full((1, simhash.WORDS), -1, np.int64))  # only equal fingerprints meet
+    assert {*range(40)} <= {r["doc_id"] for r in corpus_pipeline.unique(spark, frame, "").collect()}
+
+
+def test_near_duplicates_in_split_buckets(spark, monkeypatch):
+    rows = near_copies(6, 20)
+    monkeypatch.setattr(simhash, "SPLIT", 8)
+    monkeypatch.setattr(simhash, "blocks", lambda *_: np.zeros((1, simhash.WORDS), np.int64))  # one bucket, in 13 parts
+    got = simhash.keep_one(spark.createDataFrame(rows, DOCS))
+    assert {r["doc_id"] for r in got.collect()} == {*range(0, 40, 2), 40}
+
+
+@pytest.mark.parametrize("count", [1_000, 200_000, 12_000_000])
+def test_fingerprints_make_candidates_of_similar_sets(count):
+    rng = np.random.default_rng(4)
+    masks, met = simhash.blocks(0.8, count).view(np.uint64), 0
+    for i in range(900):
+        size, similarity = (20, 60, 400)[i % 3], (0.8, 0.85, 0.9)[i // 3 % 3]
+        both = -int(-2 * size * similarity // (1 + similarity))
+        x = rng.integers(0, 1 << 64, 2 * size - both, np.uint64)
+        fps = np.stack([simhash.majority(x[:size], simhash.WORDS), simhash.majority(np.concatenate([x[:both], x[size:]]), simhash.WORDS)])
+        agree = ((fps.view(np.uint64)[0] ^ fps.view(np.uint64)[1]) & masks == 0).all(1).any()
+        met += bool(agree and sum(len(a) for a, *_ in simhash.close_rows(fps, np.array([size, size]), np.array([0, 1]), 0.8, False)))
+    assert met >= 0.995 * 900
+
+
 def test_edit_distance_matches_the_table():
     rng = random.Random(4)
     for _ in range(200):
