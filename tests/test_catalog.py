@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import embedding, text, typed, vectors
-from tessera.operators import evidence, graph, index, retrieval, scoring, validation
+from tessera.operators import counts, evidence, graph, index, retrieval, scoring, validation
 from tessera.plans import catalog
 from tessera.sources.tables import read_csv, read_json_lines
 from tessera.streaming.resume import follow
@@ -244,3 +244,32 @@ def test_cited_parts_are_unknown_though_parts_of_their_numbers_exist(spark, tmp_
     d = orders_of(spark, tmp_path, [(123, 1), (1123, 1), (5, 1), (7, 123456)])
     got = sorted(tuple(r) for r in catalog.QUERIES["guard_unknown_ids"](spark, d).select("o_orderkey", "unknown").collect())
     assert got == by_sql(d, "guard_unknown_ids") and got[2] == (123, "PT-99123")
+
+
+TEXTS = [(1, "a", "the cat and the cat sat"), (2, "b", None), (3, "a", "Ünï cat, the cat"), (4, None, "it is"), (5, "b", "the cat"), (6, None, "cat the cat")]
+
+
+def test_postings_are_counted_by_the_task_that_reads_the_texts(spark, tmp_path):
+    rows = lambda df: sorted(map(tuple, df.select("id", "kind", "len", "term", "tf").collect()), key=str)
+    more = [*TEXTS, (1, "a", "cat the dog and the cat"), (1, "b", "sat"), (7, "a", "cat the"), (7, "a", "the cat")]
+    for name, texts in (("once", TEXTS), ("repeated", more)):
+        path = str(tmp_path / name)
+        spark.createDataFrame(texts, "id long, kind string, text string").write.parquet(path)
+        docs = spark.read.parquet(path)
+        own = index.index_of(docs)
+        assert rows(own.postings) == rows(index.postings(docs))
+        assert {r["bucket"] for r in own.postings.withColumn("same", F.col("bucket") == index.bucket(F.col("term"))).filter("same").collect()} == {r["bucket"] for r in own.blocks.collect()}
+        norms = {r["id"]: r["n"] for r in index.postings(docs).groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("n")).collect()}
+        assert {r["id"]: r["norm"] for r in own.documents.collect()} == {i: norms.get(i, 0.0) for i, _, _ in texts}
+    assert "Exchange" not in counts.blocks(docs, False)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_of_few_bytes_give_the_same_postings(spark, monkeypatch):
+    docs = spark.createDataFrame(TEXTS, "id long, kind string, text string").coalesce(1)
+    batch = counts.counted(docs, False).toArrow().combine_chunks().to_batches()[0]
+    parts = [batch.slice(i, 1) for i in range(len(TEXTS))]
+    assert [t.num_rows for t in counts.chunks(iter(parts), ("tokens",))] == [len(TEXTS)]
+    monkeypatch.setattr(counts, "CHUNK", 1)
+    assert [t.num_rows for t in counts.chunks(iter(parts), ("tokens",))] == [1] * len(TEXTS)
+    one = counts.count(counts.whole(next(counts.chunks(iter(parts), ("tokens",))), "tokens"))
+    assert one.terms.to_pylist() == ["and", "cat", "sat", "the", "and the", "cat and", "cat sat", "the cat"] and one.tf.tolist() == [1, 2, 1, 2, 1, 1, 1, 2]
