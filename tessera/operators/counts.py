@@ -174,3 +174,28 @@ def expand(found: DataFrame, kind_of_id: str, asked: list[str] | None = None) ->
                 yield from slices(pa.schema([("bucket", pa.int32()), ("term", pa.string()), ("id", ids.type), ("kind", pa.string()), ("len", pa.int32()), ("tf", pa.int64())]), columns)
 
     return map_arrow(found.select(*NAMES), each, f"bucket int, term string, id {kind_of_id}, kind string, len int, tf long")
+
+
+def totals(docs: DataFrame, merge: bool, bigrams: bool = False) -> DataFrame:
+    """(kind, term, n, docs) of (id, kind, text): how often each kind's texts hold a term and how many do; with ``bigrams``, of those alone
+    and with a null kind. A chunk's terms are added up before they are shuffled, once."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("kind", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+        for table in chunks(batches, ("tokens",)):
+            found = count(whole(table, "tokens"))
+            coded = whole(table, "kind").dictionary_encode(null_encoding="encode")
+            k = max(1, len(coded.dictionary))
+            key, tf = found.term * k + coded.indices.to_numpy()[found.row], found.tf
+            if bigrams:
+                kept = pc.match_substring(found.terms, " ").to_numpy(zero_copy_only=False)[found.term]
+                key, tf = found.term[kept] * k, tf[kept]
+            order = np.argsort(key, kind="stable")
+            start, runs = grouped(key[order])
+            sums = key[order][start]
+            n = np.add.reduceat(tf[order], start) if len(start) else np.zeros(0, np.int64)
+            kinds = pa.nulls(len(sums), pa.string()) if bigrams else coded.dictionary.take(pa.array(sums % k))
+            yield from slices(schema, [kinds, found.terms.take(pa.array(sums // k)), n, runs])
+
+    found = map_arrow(counted(docs, merge).select("kind", "tokens"), each, "kind string, term string, n long, docs long").repartition("kind", "term")
+    return found.groupBy("kind", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))

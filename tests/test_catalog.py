@@ -273,3 +273,19 @@ def test_chunks_of_few_bytes_give_the_same_postings(spark, monkeypatch):
     assert [t.num_rows for t in counts.chunks(iter(parts), ("tokens",))] == [1] * len(TEXTS)
     one = counts.count(counts.whole(next(counts.chunks(iter(parts), ("tokens",))), "tokens"))
     assert one.terms.to_pylist() == ["and", "cat", "sat", "the", "and the", "cat and", "cat sat", "the cat"] and one.tf.tolist() == [1, 2, 1, 2, 1, 1, 1, 2]
+
+
+@pytest.mark.parametrize("name", ["term_statistics"])
+def test_term_queries_match_sql_on_odd_texts_with_one_shuffle_at_most(spark, tmp_path, name):
+    more = [*TEXTS, (1, "a", "cat the dog and the cat"), (1, "b", "sat"), (7, "a", "cat the"), (7, "a", "the cat")]
+    for part, texts in (("once", TEXTS), ("repeated", more)):
+        path = str(tmp_path / part / "documents.parquet")
+        spark.createDataFrame([(i, k, "s", t) for i, k, t in texts], "doc_id long, lang string, source string, text string").write.parquet(path)
+        got, con = catalog.QUERIES[name](spark, str(tmp_path / part)), duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+        columns = sorted(got.columns)
+        want = con.sql(catalog.ORACLE_SQL[name]).select(*(f'"{c}"' for c in columns)).fetchall()
+        assert sorted((tuple(r) for r in got.select(*columns).collect()), key=str) == sorted(want, key=str)
+        if part == "once":
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "MapInArrow" in plan and plan.count("Exchange hashpartitioning") <= plan.count("MapInArrow")
