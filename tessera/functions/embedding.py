@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 
-def md5_sparse(postings: DataFrame, dim: int) -> DataFrame:
-    """(id, place, value) of the places that are not zero, from (id, term, tf): first 8 hex digits of the term's MD5 modulo dim, sign by the tenth."""
-    code = F.md5(F.col("term"))
-    place = F.conv(F.substring(code, 1, 8), 16, 10).cast("long") % dim
-    sign = F.when(F.conv(F.substring(code, 10, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    sums = postings.select("id", place.alias("place"), (sign * F.col("tf")).alias("v")).groupBy("id", "place").agg(F.sum("v").alias("v")).filter("v <> 0")
+def md5_code(terms: list[str], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and sign of each term: first 8 hex digits of its MD5 modulo dim; sign by the tenth."""
+    digests = np.frombuffer(b"".join(hashlib.md5(t.encode()).digest() for t in terms), np.uint8).reshape(-1, 16)
+    return digests[:, :4].astype(np.int64) @ (256 ** np.arange(3, -1, -1)) % dim, 1 - 2 * (digests[:, 4] & 1).astype(np.int64)
+
+
+def md5_sparse(sums: DataFrame) -> DataFrame:
+    """(id, place, value) of the places that are not zero, from sums (id, place, v) of which an id may have several; one shuffle by id."""
+    whole = sums.repartition("id").groupBy("id", "place").agg(F.sum("v").alias("v")).filter("v <> 0")
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy("id")))
-    return sums.select("id", "place", (F.col("v") / norm).alias("value"))
+    return whole.select("id", "place", (F.col("v") / norm).alias("value"))
 
 
 def blake2b(terms: Column, dim: int) -> Column:

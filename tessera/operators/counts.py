@@ -199,3 +199,21 @@ def totals(docs: DataFrame, merge: bool, bigrams: bool = False) -> DataFrame:
 
     found = map_arrow(counted(docs, merge).select("kind", "tokens"), each, "kind string, term string, n long, docs long").repartition("kind", "term")
     return found.groupBy("kind", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def hashed(docs: DataFrame, dim: int, code: Callable[[list[str], int], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(id, place, v, norm) of (id, text): each term adds its sign to a place, both from ``code``; places of 0 are left out, and norm is
+    the row's. Ids that repeat are not merged."""
+    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in chunks(batches, ("tokens",)):
+            found, ids = count(whole(table, "tokens")), whole(table, "id")
+            place, sign = code(found.terms.to_pylist(), dim)
+            grid = np.bincount(found.row * dim + place[found.term], sign[found.term] * found.tf, len(ids) * dim).astype(np.int64).reshape(-1, dim)
+            norm = np.sqrt((grid * grid).sum(axis=1).astype(np.float64))
+            at, spot = np.nonzero(grid)
+            schema = pa.schema([("id", ids.type), ("place", pa.int64()), ("v", pa.int64()), ("norm", pa.float64())])
+            yield from slices(schema, [ids.take(pa.array(at)), spot.astype(np.int64), grid[at, spot], norm[at]])
+
+    return map_arrow(docs.select("id", joined(F.col("text")).alias("tokens")), each, f"id {fields['id']}, place long, v long, norm double")
