@@ -18,6 +18,12 @@ def md5_code(terms: list[str], dim: int) -> tuple[np.ndarray, np.ndarray]:
     return digests[:, :4].astype(np.int64) @ (256 ** np.arange(3, -1, -1)) % dim, 1 - 2 * (digests[:, 4] & 1).astype(np.int64)
 
 
+def blake2b_code(terms: list[str], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and sign of each term: the first four bytes of its 8-byte digest, big-endian, modulo dim; sign by the fifth byte's parity."""
+    digests = np.frombuffer(b"".join(hashlib.blake2b(t.encode(), digest_size=8).digest() for t in terms), np.uint8).reshape(-1, 8)
+    return digests[:, :4].astype(np.int64) @ (256 ** np.arange(3, -1, -1)) % dim, 1 - 2 * (digests[:, 4] & 1).astype(np.int64)
+
+
 def md5_sparse(sums: DataFrame) -> DataFrame:
     """(id, place, value) of the places that are not zero, from sums (id, place, v) of which an id may have several; one shuffle by id."""
     whole = sums.repartition("id").groupBy("id", "place").agg(F.sum("v").alias("v")).filter("v <> 0")
@@ -28,8 +34,7 @@ def md5_sparse(sums: DataFrame) -> DataFrame:
 def blake2b(terms: Column, dim: int) -> Column:
     """Dense vector of an array of terms; Spark has no BLAKE2b, so Python hashes each distinct term of an Arrow batch once.
 
-    The first four bytes of the term's 8-byte digest, big-endian, give the place, the fifth byte's parity the sign. No
-    terms, or null, give zeros.
+    No terms, or null, give zeros. A task holds a batch of lists: whole corpora go through ``counts.hashed``.
     """
 
     @pandas_udf("array<double>")
@@ -38,9 +43,7 @@ def blake2b(terms: Column, dim: int) -> Column:
         if not sizes.sum():
             return pd.Series([np.zeros(dim)] * len(column))
         code, distinct = pd.factorize(np.concatenate([t for t in column if t is not None and len(t)]))
-        digests = np.frombuffer(b"".join(hashlib.blake2b(t.encode(), digest_size=8).digest() for t in distinct), np.uint8).reshape(-1, 8)
-        place = digests[:, :4].astype(np.int64) @ (256 ** np.arange(3, -1, -1)) % dim
-        sign = 1.0 - 2.0 * (digests[:, 4] & 1)
+        place, sign = blake2b_code(distinct, dim)
         row = np.repeat(np.arange(len(column)), sizes)
         grid = np.bincount(row * dim + place[code], sign[code], len(column) * dim).reshape(-1, dim)
         norm = np.linalg.norm(grid, axis=1, keepdims=True)

@@ -289,3 +289,14 @@ def test_term_queries_match_sql_on_odd_texts_with_one_shuffle_at_most(spark, tmp
         if part == "once":
             plan = got._jdf.queryExecution().executedPlan().toString()
             assert "MapInArrow" in plan and plan.count("Exchange hashpartitioning") <= plan.count("MapInArrow")
+
+
+def test_blake2b_query_hashes_chunks_of_bounded_size(spark, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(i, k, "s", t) for i, k, t in [*TEXTS, (1, "a", "cat the dog")]], "doc_id long, lang string, source string, text string").write.parquet(path)
+    got = catalog.QUERIES["hash_embedding_blake2b"](spark, str(tmp_path))
+    tokens = spark.read.parquet(path).select("doc_id", text.tokenize(F.col("text")).alias("t"))
+    plain = tokens.select("doc_id", F.posexplode(embedding.blake2b(F.concat("t", text.bigrams(F.col("t"))), 64)).alias("place", "value")).filter("value <> 0").withColumn("value", F.round("value", 6))
+    assert got.schema.simpleString() == plain.schema.simpleString() and sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= counts.BATCH
