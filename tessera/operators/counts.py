@@ -217,3 +217,23 @@ def hashed(docs: DataFrame, dim: int, code: Callable[[list[str], int], tuple[np.
             yield from slices(schema, [ids.take(pa.array(at)), spot.astype(np.int64), grid[at, spot], norm[at]])
 
     return map_arrow(docs.select("id", joined(F.col("text")).alias("tokens")), each, f"id {fields['id']}, place long, v long, norm double")
+
+
+def cosines(pairs: DataFrame) -> DataFrame:
+    """(a, b, cosine) of pairs of texts (a, b, x, y), by the counts of their terms; 0 where either has none."""
+    fields = {f.name: f.dataType.simpleString() for f in pairs.schema}
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in chunks(batches, ("x", "y")):
+            m = table.num_rows
+            found = count(pa.concat_arrays([whole(table, "x"), whole(table, "y")]))
+            term, row, tf = found.term, found.row, found.tf
+            norm = np.sqrt(np.bincount(row, tf.astype(np.float64) ** 2, 2 * m))
+            left, key = row < m, term * m + row % max(1, m)
+            shared, i, j = np.intersect1d(key[left], key[~left], assume_unique=True, return_indices=True)
+            dot = np.bincount(shared % max(1, m), (tf[left][i] * tf[~left][j]).astype(np.float64), m)
+            cosine = np.divide(np.divide(dot, norm[:m], out=np.zeros(m), where=dot > 0), norm[m:], out=np.zeros(m), where=dot > 0)
+            schema = pa.schema([("a", table.schema.field("a").type), ("b", table.schema.field("b").type), ("cosine", pa.float64())])
+            yield from slices(schema, [whole(table, "a"), whole(table, "b"), cosine])
+
+    return map_arrow(pairs.select("a", "b", "x", "y"), each, f"a {fields['a']}, b {fields['b']}, cosine double")

@@ -131,7 +131,7 @@ def diagnostics(rows: DataFrame) -> DataFrame:
 def counter_cosine(counts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, cosine) of the term counts (id, term, tf) of each pair of documents; 0 where either has no term."""
     norms = counts.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    left = pairs.join(counts.select(F.col("id").alias("a"), "term", F.col("tf").alias("x")), "a")
+    left = pairs.distinct().join(counts.select(F.col("id").alias("a"), "term", F.col("tf").alias("x")), "a")
     dots = left.join(counts.select(F.col("id").alias("b"), "term", F.col("tf").alias("y")), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     found = dots.join(norms.select(F.col("id").alias("a"), F.col("norm").alias("n")), "a").join(norms.select(F.col("id").alias("b"), F.col("norm").alias("m")), "b")
     return pairs.join(found.select("a", "b", (F.col("dot") / F.col("n") / F.col("m")).alias("c")), ["a", "b"], "left").select("a", "b", F.coalesce("c", F.lit(0.0)).alias("cosine"))

@@ -275,7 +275,7 @@ def test_chunks_of_few_bytes_give_the_same_postings(spark, monkeypatch):
     assert one.terms.to_pylist() == ["and", "cat", "sat", "the", "and the", "cat and", "cat sat", "the cat"] and one.tf.tolist() == [1, 2, 1, 2, 1, 1, 1, 2]
 
 
-@pytest.mark.parametrize("name", ["term_statistics", "bigram_stats", "hash_embedding_md5"])
+@pytest.mark.parametrize("name", ["term_statistics", "bigram_stats", "hash_embedding_md5", "counter_cosine"])
 def test_term_queries_match_sql_on_odd_texts_with_one_shuffle_at_most(spark, tmp_path, name):
     more = [*TEXTS, (1, "a", "cat the dog and the cat"), (1, "b", "sat"), (7, "a", "cat the"), (7, "a", "the cat")]
     for part, texts in (("once", TEXTS), ("repeated", more)):
