@@ -79,18 +79,20 @@ def induced(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 
 def steps_of(edges: DataFrame) -> DataFrame:
-    """(id, other, step): one distinct step of a path from id to other, as text."""
+    """(id, other, step): one step of a path from id to other, as text; parallel edges give it several times."""
     arrow = F.when(F.col("direction") == "OUTGOING", F.concat(F.lit(" -"), "rel", F.lit("-> "))).otherwise(F.concat(F.lit(" <-"), "rel", F.lit("- ")))
-    return adjacency(edges).select("id", "other", F.concat(arrow, "other").alias("step")).distinct()
+    return adjacency(edges).select("id", "other", F.concat(arrow, "other").alias("step"))
 
 
 def expand(steps: DataFrame, seeds: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(*by, id, hops, seed, path) of all nodes within two ``steps`` of the seeds (*by, id, seed_rank), each by its shortest path.
 
     Ties go to the seed of the lower rank and then to the smaller path. A seed can be found by going out and back. ``by`` names
-    columns, such as the query, whose values are expanded apart.
+    columns, such as the query, whose values are expanded apart. Steps are read twice, past the seeds and past the first hop, both
+    saved so that their sizes are known, and are not shuffled while those are small; a step that is there several times changes nothing.
     """
-    one = seeds.join(steps, "id").select(*by, F.col("other").alias("id"), F.lit(1).alias("hops"), "seed_rank", F.col("id").alias("seed"), F.concat("id", "step").alias("path"))
+    one = save(seeds).join(steps, "id").select(*by, F.col("other").alias("id"), F.lit(1).alias("hops"), "seed_rank", F.col("id").alias("seed"), F.concat("id", "step").alias("path"))
+    one = save(one.distinct())
     two = one.join(steps, "id").select(*by, F.col("other").alias("id"), F.lit(2).alias("hops"), "seed_rank", "seed", F.concat("path", "step").alias("path"))
     best = one.unionByName(two).groupBy(*by, "id").agg(F.min(F.struct("hops", "seed_rank", "path", "seed")).alias("b"))
     return best.select(*by, "id", "b.hops", "b.seed", "b.path")

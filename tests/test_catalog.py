@@ -300,3 +300,11 @@ def test_blake2b_query_hashes_chunks_of_bounded_size(spark, tmp_path):
     assert got.schema.simpleString() == plain.schema.simpleString() and sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
     assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= counts.BATCH
+
+
+def test_expansion_does_not_shuffle_the_steps(spark):
+    edges = spark.createDataFrame([("a", "r", "m"), ("a", "r", "m"), ("m", "r", "z"), ("m", "s", "z")] + [(f"x{i}", "r", f"x{i + 1}") for i in range(50)], "src string, rel string, dst string")
+    found = graph.expand(graph.steps_of(edges), spark.createDataFrame([("a", 1)], "id string, seed_rank int"))
+    assert sorted(tuple(r) for r in found.collect()) == [("a", 2, "a", "a -r-> m <-r- a"), ("m", 1, "a", "a -r-> m"), ("z", 2, "a", "a -r-> m -r-> z")]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
